@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from factloom.llm.jaccard_join import op3_jaccard_join
+from factloom.llm.packing import op1_best_fit_packing
 from factloom.llm.token_counts import op6_token_counts
 
-QUERIES = {f.__name__: f for f in (op6_token_counts,)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_jaccard_join, op6_token_counts)}
 ORACLES: dict[str, str] = {}
