@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from factloom.llm.decontaminate import op4_decontamination
 from factloom.llm.jaccard_join import op3_jaccard_join
+from factloom.llm.language_id import op8_language_id
 from factloom.llm.license_scan import op9_license_scan
 from factloom.llm.packing import op1_best_fit_packing
+from factloom.llm.quality import op2_quality_classifier
 from factloom.llm.token_counts import op6_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_jaccard_join, op4_decontamination, op6_token_counts, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_jaccard_join, op4_decontamination, op6_token_counts, op8_language_id, op9_license_scan)}
 ORACLES: dict[str, str] = {}
