@@ -13,6 +13,8 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cache
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -24,52 +26,94 @@ from factloom.llm.token_counts import tokenizer_path
 
 LIMIT = 4096
 #: Entries of a worker's word cache; it starts again when full, so memory stays bounded.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+#: Texts that are split into words at once.
+TEXTS = 500
 #: Rows of one salted rank window, about.
 WINDOW_ROWS = 50_000
-_STEM = re.compile(r"([A-Za-z]+)([.,!?;:%&*$#|()]+)")
+#: Letters that are one word for the tokenizer and its normaliser only lower-cases, and marks that are another word.
+_STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%&*$#|()]*)")
 
 
 class WordIds(dict):
-    """Word -> its token ids as little-endian unsigned 32-bit bytes.
+    """Word -> its token ids as little-endian unsigned 32-bit bytes, words being split at spaces and line feeds.
 
     The tokenizer drops white space and no token crosses it, so a text's ids are those of its words in turn;
-    letters and the punctuation behind them are split as well.
+    letters and the punctuation behind them are split as well. New words are encoded many at a time.
     """
 
     def __init__(self, name: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(tokenizer_path(name))
-
-    def __missing__(self, word: str) -> bytes:
-        m = _STEM.fullmatch(word)
-        out = self[m[1].lower()] + self[m[2]] if m else self.encode(word)
-        if len(self) >= CACHE_WORDS:
+        self.bpe = self.model.model
+        # the signs that stand for bytes: printable Latin-1 for itself, the others from U+0100 on, in order
+        own = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace()]
+        self.signs = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in own)}
+
+    def learn(self, words: set[str]) -> None:
+        """Encode the words that are not known yet."""
+        if len(self) > CACHE_WORDS:
             self.clear()
-        if len(word) <= 64:
-            self[word] = out
-        return out
-
-    def encode(self, word: str) -> bytes:
-        return np.array(self.model.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        odd = []
+        for w in words:
+            if w not in self:
+                if m := _STEM.fullmatch(w):
+                    stem, marks = m.groups()
+                    ids = self.letters(stem.lower())
+                    if marks:
+                        if marks not in self:
+                            self[marks] = self.encode([marks])[0]
+                        ids += self[marks]
+                    self[w] = ids
+                else:
+                    odd.append(w)
+        for at in range(0, len(odd), 4000):
+            part = odd[at : at + 4000]
+            self.update(zip(part, self.encode(part), strict=True))
+
+    def letters(self, stem: str) -> bytes:
+        """The ids of lower-case letters that no normalisation changes: one word for the model."""
+        ids = self.get(stem)
+        if ids is None:
+            signs = stem if stem.isascii() else "".join(map(self.signs.__getitem__, stem.encode()))
+            ids = self[stem] = pack_ids(f"<{len(found := self.bpe.tokenize(signs))}I", *[t.id for t in found])
+        return ids
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        found = self.model.encode(" ".join(words), add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        begin = np.cumsum([0, *(len(w) + 1 for w in words)])
+        cut = np.searchsorted(np.array([x[0] for x in found.offsets], np.int64), begin)
+        return [ids[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; what new words there are in these texts is held besides the cache."""
+        words = [t.replace("\n", " ").split(" ") for t in texts]
+        self.learn(set().union(*words))
+        return [b"".join(map(self.__getitem__, w)) for w in words]
+
+
+@cache
+def word_ids(name: str) -> WordIds:
+    """One for each worker process, which goes from task to task."""
+    return WordIds(name)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, limit: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    words = WordIds(tokenizer)
+    words = word_ids(tokenizer)
     end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
-        cols: list[list] = [[], [], [], [], []]
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = words.ids(text.as_py() or "") + end
-            for k, start in enumerate(range(0, len(ids) // 4, limit)):
-                part = ids[4 * start : 4 * (start + limit)]
-                for col, x in zip(cols, (i, k, start, len(part) // 4, zlib.crc32(part)), strict=True):
-                    col.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        for at in range(0, batch.num_rows, TEXTS):
+            rows = batch.slice(at, TEXTS)
+            cols: list[list] = [[], [], [], [], []]
+            for i, ids in zip(rows.column(0).to_pylist(), words.ids([t or "" for t in rows.column(1).to_pylist()]), strict=True):
+                ids += end
+                for k, start in enumerate(range(0, len(ids) // 4, limit)):
+                    part = ids[4 * start : 4 * (start + limit)]
+                    for col, x in zip(cols, (i, k, start, len(part) // 4, zlib.crc32(part)), strict=True):
+                        col.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
 def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = LIMIT, end_id: int = 1) -> DataFrame:
