@@ -10,6 +10,7 @@ and its neighbours, and only members that are still in different components meet
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +30,9 @@ LOCAL_COUNT, TOTAL_COUNT = 4, 16
 FLUSH = 4_000_000
 #: Up to this size all pairs of a prefix group are candidates at once.
 SMALL_GROUP = 4
-CACHE_WORDS = 300_000
 _U = np.uint64
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective scramble of 64-bit numbers."""
     with np.errstate(over="ignore"):
@@ -50,38 +42,106 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
-def shingles(text: str | None, words: WordHashes, k: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles: A-Z lower-cased, words between the ASCII white spaces."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = len(parts)
-    if not n:
-        return np.zeros(0, _U)
-    w = np.fromiter(map(words.__getitem__, parts), _U, n)
+_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_BYTE = mix(np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], _U), 99)  # A-Z as a-z
+
+
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        return tuple(np.cumprod(np.r_[_U(1), np.full(n, x, _U)]) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of many texts, and how many words each text has.
+
+    data: UTF-8 bytes; offsets: where each text begins, and the end. Words stand between ASCII white spaces and text
+    ends; their hash is that of a polynomial over their bytes, taken from running sums over all bytes.
+    """
+    space = _SPACE[data]
+    head, tail = ~space, ~space
+    first, last = offsets[:-1][offsets[:-1] < offsets[1:]], offsets[1:][offsets[:-1] < offsets[1:]] - 1
+    open_, close = np.r_[True, space[:-1]], np.r_[space[1:], True]
+    open_[first] = close[last] = True
+    head &= open_
+    tail &= close
+    head, tail = np.flatnonzero(head), np.flatnonzero(tail)
+    with np.errstate(over="ignore"):
+        up, down = _powers(max(1 << 22, 1 << int(len(data)).bit_length()))
+        run = np.cumsum(_BYTE[data] * up[: len(data)])
+        h = run[tail] - np.where(head > 0, run[head - 1], _U(0))
+        h = mix(h * down[head] + (tail - head).astype(_U))
+    return h, np.diff(np.searchsorted(head, offsets))
+
+
+def shingle_sets(texts: list[bytes] | tuple[np.ndarray, np.ndarray], k: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the k-word shingles of each text; of the whole text if it has fewer words."""
+    if isinstance(texts, list):
+        texts = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    w, counts = word_hashes(*texts)
+    ends = np.cumsum(counts)
     with np.errstate(over="ignore"):
-        h = np.full(max(1, n - k + 1), min(n, k), _U)
-        for i in range(min(n, k)):
-            h = mix(h * _U(0x100000001B3) + w[i : i + len(h)])
-    return np.unique(h)
+        h = np.full(max(0, len(w) - k + 1), k, _U)
+        for i in range(k):
+            h = h * _U(0x100000001B3) + w[i : i + len(h)]
+        h = mix(h)
+        out = []
+        for end, n in zip(ends.tolist(), counts.tolist(), strict=True):
+            if n >= k:
+                s = np.sort(h[end - n : end - k + 1])
+                out.append(s[np.r_[True, s[1:] != s[:-1]]] if len(s) > 1 else s)
+            else:
+                x = np.full(min(n, 1), n, _U)
+                for i in range(n):
+                    x = x * _U(0x100000001B3) + w[end - n + i : end - n + i + 1]
+                out.append(mix(x, 7))
+    return out
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray, order: int) -> np.ndarray:
-    """The first tokens of a set under one order: infrequent ones first, then by the order's own hash."""
+class Frequent:
+    """The frequent tokens; a table of flags by low bits answers for most tokens."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.tokens = tokens
+        self.flags = np.zeros(1 << 22, bool)
+        self.flags[tokens & _U((1 << 22) - 1)] = True
+
+    def has(self, s: np.ndarray) -> np.ndarray:
+        out = self.flags[s & _U((1 << 22) - 1)]
+        at = np.flatnonzero(out)
+        if len(at):
+            where = np.minimum(np.searchsorted(self.tokens, s[at]), len(self.tokens) - 1)
+            out[at] = self.tokens[where] == s[at]
+        return out
+
+
+def prefix(s: np.ndarray, late: np.ndarray, order: int) -> np.ndarray:
+    """The first tokens of a set under one order: infrequent ones first (late: not), then by the order's own hash."""
     p = prefix_length(len(s))
-    key = mix(s, order) >> _U(1)
-    if len(frequent):
-        at = np.searchsorted(frequent, s)
-        key |= (frequent[np.minimum(at, len(frequent) - 1)] == s).astype(_U) << _U(63)
-    return s[np.argpartition(key, p - 1)[:p]] if p < len(s) else s
+    if p >= len(s):
+        return s
+    key = mix(s, order) >> _U(1) | late.astype(_U) << _U(63)
+    return s[np.argpartition(key, p - 1)[:p]]
 
 
-def _sets(batch: pa.RecordBatch, words: WordHashes, take=None) -> Iterator[tuple[int, np.ndarray]]:
+def _sets(batch: pa.RecordBatch, take=None) -> Iterator[tuple[int, np.ndarray]]:
+    """(doc_id, set) of the rows, some megabytes of text at once."""
     ids, texts = batch.column("doc_id"), batch.column("text")
-    for i in range(batch.num_rows) if take is None else take:
-        yield ids[i].as_py(), shingles(texts[i].as_py(), words)
+    rows = range(batch.num_rows) if take is None else take
+    held, size = [], 0
+    for i in rows:
+        held.append((ids[i].as_py(), (texts[i].as_py() or "").encode("utf-8", "surrogatepass")))
+        size += len(held[-1][1])
+        if size >= 1 << 21:
+            yield from zip((x for x, _ in held), shingle_sets([t for _, t in held]), strict=True)
+            held, size = [], 0
+    if held:
+        yield from zip((x for x, _ in held), shingle_sets([t for _, t in held]), strict=True)
 
 
 SURVEY = "doc_id long, n long, digest binary, token long, cnt long"
@@ -89,7 +149,7 @@ SURVEY = "doc_id long, n long, digest binary, token long, cnt long"
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and one for each token that is frequent within a flush."""
-    words, held, size = WordHashes(), [], 0
+    held, size = [], 0
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("token", pa.int64()), ("cnt", pa.int64())])
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -100,7 +160,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         ids, ns, digests = [], [], []
-        for i, s in _sets(batch, words):
+        for i, s in _sets(batch):
             ids.append(i)
             ns.append(len(s))
             digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
@@ -117,17 +177,17 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _index(batches: Iterator[pa.RecordBatch], frequent) -> Iterator[pa.RecordBatch]:
     """(token, doc_id, n) for the first order's prefix; a set that the task has just had is not given again."""
-    words, seen = WordHashes(), set()
+    seen, often = set(), Frequent(frequent.value)
     for batch in batches:
         tokens, ids, ns = [], [], []
-        for i, s in _sets(batch, words):
+        for i, s in _sets(batch):
             if len(s) and i is not None:
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 if digest not in seen:
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(digest)
-                    tokens.append(prefix(s, frequent.value, 0))
+                    tokens.append(prefix(s, often.has(s), 0))
                     ids.append(i)
                     ns.append(len(s))
         if tokens:
@@ -200,22 +260,70 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _wanted(batches: Iterator[pa.RecordBatch], frequent, bits) -> Iterator[pa.RecordBatch]:
-    """Sets, and prefixes under a second and a third order, of the documents whose bit is set."""
-    words = WordHashes()
+def _sketches(batches: Iterator[pa.RecordBatch], frequent, bits) -> Iterator[pa.RecordBatch]:
+    """Of the documents whose bit is set: size, prefixes under a second and third order as 32-bit hashes, and a bit set."""
+    often = Frequent(frequent.value)
+    for batch in batches:
+        rows = []
+        for i, s in _sets(batch, has_bit(bits.value, batch.column("bit").to_numpy()).nonzero()[0]):
+            if len(s) and i is not None:
+                late = often.has(s)
+                marks = np.zeros(1 << max(6, (len(s) * 8 - 1).bit_length()), np.uint8)
+                marks[(s & _U(len(marks) - 1)).astype(np.int64)] = 1
+                rows.append((i, len(s), *((prefix(s, late, k) >> _U(32)).astype(np.uint32).view(np.int32) for k in (1, 2)), np.packbits(marks).tobytes()))
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()), strict=True)], names=["id", "n", "p", "q", "marks"])
+
+
+def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that meet in both other orders and whose bit sets allow for enough shared tokens."""
+    for batch in batches:
+        keep = np.zeros(batch.num_rows, bool)
+        cols = [batch.column(c) for c in ("na", "nb", "pa", "pb", "qa", "qb", "ma", "mb")]
+        for i in range(batch.num_rows):
+            na, nb = cols[0][i].as_py(), cols[1][i].as_py()
+            pa_, pb, qa, qb = (cols[k][i].values.to_numpy() for k in range(2, 6))
+            if np.isin(pa_, pb).any() and np.isin(qa, qb).any():
+                x, y = (np.frombuffer(cols[k][i].as_buffer(), np.uint8) for k in (6, 7))
+                if len(x) != len(y):  # the longer is a refinement: fold it
+                    x, y = (v.reshape(-1, min(len(x), len(y))) for v in (x, y))
+                    x, y = np.bitwise_or.reduce(x, 0), np.bitwise_or.reduce(y, 0)
+                both = int(np.bitwise_count(x & y).sum())
+                most = both + min(na - int(np.bitwise_count(x).sum()), nb - int(np.bitwise_count(y).sum()))
+                keep[i] = most * 100 >= PERCENT * (na + nb - most)
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in "ab"], names=["a", "b"])
+
+
+def _whole(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
+    """The sets of the documents whose bit is set."""
     for batch in batches:
-        take = has_bit(bits, batch.column("bit").to_numpy()).nonzero()[0]
+        take = has_bit(bits.value, batch.column("bit").to_numpy()).nonzero()[0]
         for at in range(0, len(take), 512):
-            rows = [(i, s) for i, s in _sets(batch, words, take[at : at + 512]) if len(s) and i is not None]
-            lists = [[s for _, s in rows], *([prefix(s, frequent.value, k) for _, s in rows] for k in (1, 2))]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), *(pa.array([x.view(np.int64) for x in xs], pa.list_(pa.int64())) for xs in lists)], names=["id", "s", "p", "q"])
+            rows = [(i, s) for i, s in _sets(batch, take[at : at + 512]) if len(s) and i is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([s.view(np.int64) for _, s in rows], pa.list_(pa.int64()))], names=["id", "s"])
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, shared, total) of the pairs that pass the other orders' filters, with the sizes that decide."""
-    x, y = (sets.select(F.col("id").alias(c), *(F.col(k).alias(f"{k}{c}") for k in "spq")) for c in "ab")
-    both = pairs.join(x, "a").join(y, "b").where(F.arrays_overlap("pa", "pb") & F.arrays_overlap("qa", "qb"))
-    return both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"), (F.size("sa") + F.size("sb")).cast("long").alias("sizes"))
+def _verified(pairs: DataFrame, docs: DataFrame, frequent, name: str) -> DataFrame:
+    """(a, b, shared, sizes) of the pairs that the filters leave: of whole sets, shared tokens and the sum of sizes."""
+    sc = docs.sparkSession.sparkContext
+    keyed = docs.withColumn("bit", bit_of(F.col("doc_id")))
+
+    def both(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+        for c in "ab":
+            pairs = pairs.join(rows.select(F.col("id").alias(c), *(F.col(x).alias(f"{x[0]}{c}") for x in rows.columns if x != "id")), c)
+        return pairs
+
+    bits = sc.broadcast(bitmap(_ids(pairs), "id"))
+    sketches = keyed.mapInArrow(lambda it: _sketches(it, frequent, bits), "id long, n long, p array<int>, q array<int>, marks binary")
+    left = written(both(pairs, sketches).mapInArrow(_may_link, "a long, b long"), f"{name}-left")
+    few = sc.broadcast(bitmap(_ids(left), "id"))
+    whole = keyed.mapInArrow(lambda it: _whole(it, few), "id long, s array<long>")
+    found = both(left, whole).select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"), (F.size("sa") + F.size("sb")).cast("long").alias("sizes"))
+    return written(found, name)
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
@@ -247,10 +355,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
 
     pairs = written(represented(found.where("token is null").select("a", "b").distinct()), "reps")
     big = found.where("token is not null")
-    members = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b"))
-    bits = sc.broadcast(bitmap(members.unionAll(big.join(rep_of, F.col("a") == F.col("doc_id")).select("rep")), "id"))
-    sets = written(docs.withColumn("bit", bit_of(F.col("doc_id"))).mapInArrow(lambda it: _wanted(it, frequent, bits.value), "id long, s array<long>, p array<long>, q array<long>"), "sets").dropDuplicates(["id"])
-    tested = written(_verified(pairs, sets), "tested")
+    tested = _verified(pairs, docs, frequent, "tested")
     enough = F.col("shared") * 100 >= PERCENT * (F.col("sizes") - F.col("shared"))
     links = tested.where(enough).select("a", "b")
     comp = written(components(links), "components")
@@ -266,7 +371,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
         near = (F.col("x.pivot") != F.col("y.pivot")) | F.col("x.d").isNull() | F.col("y.d").isNull() | (F.abs(F.col("x.d") - F.col("y.d")) <= 1 - PERCENT / 100 + 1e-9)
         more = rest.alias("x").join(rest.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & (F.least("x.n", "y.n") * 100 >= PERCENT * F.greatest("x.n", "y.n")) & near)
         more = more.select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        extra = _verified(more, sets).where(enough).select("a", "b")
+        extra = _verified(written(more, "more"), docs, frequent, "extra").where(enough).select("a", "b")
         comp = written(components(links.unionAll(extra)), "components")
     return named.join(comp, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
