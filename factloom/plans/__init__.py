@@ -1,4 +1,11 @@
-"""Registered queries: each module here holds QUERIES (name -> function) and ORACLES (name -> SQL)."""
+"""Registered queries: each module holds QUERIES (name -> function of session and folder) and ORACLES (name -> SQL)."""
+
+from __future__ import annotations
+
+from factloom.plans import decisions, documents, measures, relations
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (decisions, relations, measures, documents):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
