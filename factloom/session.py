@@ -39,3 +39,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors see: that of spark.checkpoint.dir; one of our own only where it is unset."""
+    import tempfile
+
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not found:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found
