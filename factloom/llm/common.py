@@ -14,16 +14,20 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Size of the id bitmaps in bits: 1 MB, whatever the input.
 BITMAP_BITS = 1 << 23
+#: Rows that a Python worker gets at once, where the session has Spark's default: documents can be long.
+BATCH_ROWS = 1000
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package and make sure that a checkpoint folder is set.
+    """Let Python workers import this package, bound their batches, and make sure that a checkpoint folder is set.
 
     The folder comes from ``spark.checkpoint.dir``; a folder of our own is set only where that is unset.
     """
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH")) if x)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if not shared_dir(spark):
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
     return spark

@@ -1,10 +1,11 @@
 """Exact Jaccard self-join of documents on word shingles, by prefixes under several global token orders.
 
 A pair with enough in common shares a token among the first p = n - ceil(t * n) + 1 of each set, whatever total order
-of tokens is taken. Here every order puts the frequent tokens last; among equals each order goes by a hash of its own.
+of tokens is taken. Here every order puts the frequent tokens last, by levels of their counts; within a level each order goes by a hash of
+its own.
 Candidates meet in the first order's prefixes, must meet in the other orders' prefixes too, and are then verified on
-the whole sets. Documents with equal sets are one node; of large prefix groups each member first meets a few pivots
-and its neighbours, and only members that are still in different components meet each other.
+the whole sets. Documents with equal sets are one node; of large prefix groups each member first meets a few pivots,
+and only members that are still in different components meet each other.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ from factloom.llm.common import bit_of, bitmap, components, has_bit, ready, tabl
 
 WORDS = 5
 PERCENT = 75
-#: Tokens held as frequent at most (1 MB on the driver and in a broadcast). Any choice gives the same result.
-FREQUENT = 1 << 17
+#: Tokens held as frequent at most (5 MB on the driver and in a broadcast). Any choice gives the same result.
+FREQUENT = 1 << 19
 #: Occurrences within one flush of a task, and in all flushes, from which a token counts as frequent.
-LOCAL_COUNT, TOTAL_COUNT = 4, 16
+LOCAL_COUNT, TOTAL_COUNT = 3, 8
 #: Tokens that a task holds before it flushes its counts or pairs.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
+#: Members that each member of a larger group meets at first.
+PIVOTS = 4
 #: Up to this size all pairs of a prefix group are candidates at once.
 SMALL_GROUP = 4
 _U = np.uint64
@@ -68,7 +71,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     tail &= close
     head, tail = np.flatnonzero(head), np.flatnonzero(tail)
     with np.errstate(over="ignore"):
-        up, down = _powers(max(1 << 22, 1 << int(len(data)).bit_length()))
+        up, down = _powers(max(1 << 20, 1 << int(len(data)).bit_length()))
         run = np.cumsum(_BYTE[data] * up[: len(data)])
         h = run[tail] - np.where(head > 0, run[head - 1], _U(0))
         h = mix(h * down[head] + (tail - head).astype(_U))
@@ -104,40 +107,40 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 class Frequent:
-    """The frequent tokens; a table of flags by low bits answers for most tokens."""
+    """Levels of the frequent tokens, 0 for all others; a table of flags by low bits answers for most tokens."""
 
-    def __init__(self, tokens: np.ndarray):
-        self.tokens = tokens
-        self.flags = np.zeros(1 << 22, bool)
-        self.flags[tokens & _U((1 << 22) - 1)] = True
+    def __init__(self, tokens: np.ndarray, levels: np.ndarray):
+        self.tokens, self.levels = tokens, levels
+        self.flags = np.zeros(1 << 23, bool)
+        self.flags[tokens & _U((1 << 23) - 1)] = True
 
-    def has(self, s: np.ndarray) -> np.ndarray:
-        out = self.flags[s & _U((1 << 22) - 1)]
-        at = np.flatnonzero(out)
+    def of(self, s: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(s), _U)
+        at = np.flatnonzero(self.flags[s & _U((1 << 23) - 1)])
         if len(at):
             where = np.minimum(np.searchsorted(self.tokens, s[at]), len(self.tokens) - 1)
-            out[at] = self.tokens[where] == s[at]
+            out[at] = np.where(self.tokens[where] == s[at], self.levels[where], 0)
         return out
 
 
-def prefix(s: np.ndarray, late: np.ndarray, order: int) -> np.ndarray:
-    """The first tokens of a set under one order: infrequent ones first (late: not), then by the order's own hash."""
+def prefix(s: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
+    """The first tokens of a set under one order: by level of frequency, then by the order's own hash."""
     p = prefix_length(len(s))
     if p >= len(s):
         return s
-    key = mix(s, order) >> _U(1) | late.astype(_U) << _U(63)
+    key = mix(s, order) >> _U(6) | level << _U(58)
     return s[np.argpartition(key, p - 1)[:p]]
 
 
 def _sets(batch: pa.RecordBatch, take=None) -> Iterator[tuple[int, np.ndarray]]:
-    """(doc_id, set) of the rows, some megabytes of text at once."""
+    """(doc_id, set) of the rows, half a megabyte of text at once."""
     ids, texts = batch.column("doc_id"), batch.column("text")
     rows = range(batch.num_rows) if take is None else take
     held, size = [], 0
     for i in rows:
         held.append((ids[i].as_py(), (texts[i].as_py() or "").encode("utf-8", "surrogatepass")))
         size += len(held[-1][1])
-        if size >= 1 << 21:
+        if size >= 1 << 19:
             yield from zip((x for x, _ in held), shingle_sets([t for _, t in held]), strict=True)
             held, size = [], 0
     if held:
@@ -177,7 +180,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _index(batches: Iterator[pa.RecordBatch], frequent) -> Iterator[pa.RecordBatch]:
     """(token, doc_id, n) for the first order's prefix; a set that the task has just had is not given again."""
-    seen, often = set(), Frequent(frequent.value)
+    seen, often = set(), Frequent(*frequent.value)
     for batch in batches:
         tokens, ids, ns = [], [], []
         for i, s in _sets(batch):
@@ -187,7 +190,7 @@ def _index(batches: Iterator[pa.RecordBatch], frequent) -> Iterator[pa.RecordBat
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(digest)
-                    tokens.append(prefix(s, often.has(s), 0))
+                    tokens.append(prefix(s, often.of(s), 0))
                     ids.append(i)
                     ns.append(len(s))
         if tokens:
@@ -199,18 +202,23 @@ PAIRS = "token long, a long, b long, n int"
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs from rows sorted by token, n and doc_id.
+    """Candidate pairs from rows sorted by token and n.
 
     token null: a pair (a, b) that shares a prefix token and fits by size, each once for a flush. token not null: a
-    member a of a large group, whose pivot is b; only its pairs with pivots and neighbours are among the pairs.
+    member a of a large group, whose first pivot is b; only its pairs with the pivots are among the pairs. Pivots are the members with the
+    smallest hashes, so that groups with the same members have the same pivots.
     """
     schema = pa.schema([("token", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32())])
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        both = np.unique(np.rec.fromarrays([np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])]))
-        return pa.RecordBatch.from_arrays([pa.nulls(len(both), pa.int64()), pa.array(np.ascontiguousarray(both.f0)), pa.array(np.ascontiguousarray(both.f1)), pa.nulls(len(both), pa.int32())], schema=schema)
+        a, b = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        a, b = a[new], b[new]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32())], schema=schema)
 
     def keep(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> None:
         nonlocal size
@@ -229,14 +237,20 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(1, SMALL_GROUP):
             at = np.flatnonzero((t[k:] == t[:-k]) & ~big[k:])
             keep(d[at], d[at + k], n[at], n[at + k])
-        at = np.flatnonzero((t[1:] == t[:-1]) & big[1:])
-        keep(d[at], d[at + 1], n[at], n[at + 1])
         at = np.flatnonzero(big)
         if len(at):
-            first, middle = (np.repeat(p, count)[at] for p in (start, (start + stop) // 2))
-            for pivot in (first, middle):
-                keep(d[pivot], d[at], n[pivot], n[at])
-            yield pa.RecordBatch.from_arrays([pa.array(t[at]), pa.array(d[at]), pa.array(d[middle]), pa.array(n[at])], schema=schema)
+            many = np.flatnonzero(count > SMALL_GROUP)
+            group = np.repeat(np.arange(len(many)), count[many])
+            for r in range(PIVOTS):
+                h = mix(d[at].view(_U), 1000 + r)
+                low = np.minimum.reduceat(h, np.r_[0, np.cumsum(count[many])[:-1]])
+                pivot = np.zeros(len(many), np.int64)
+                hit = np.flatnonzero(h == low[group])
+                pivot[group[hit]] = at[hit]
+                keep(d[pivot[group]], d[at], n[pivot[group]], n[at])
+                if not r:
+                    first = d[pivot[group]]
+            yield pa.RecordBatch.from_arrays([pa.array(t[at]), pa.array(d[at]), pa.array(first), pa.array(n[at])], schema=schema)
         if size >= FLUSH // 2:
             yield flush()
             pairs, size = [], 0
@@ -262,15 +276,15 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sketches(batches: Iterator[pa.RecordBatch], frequent, bits) -> Iterator[pa.RecordBatch]:
     """Of the documents whose bit is set: size, prefixes under a second and third order as 32-bit hashes, and a bit set."""
-    often = Frequent(frequent.value)
+    often = Frequent(*frequent.value)
     for batch in batches:
         rows = []
         for i, s in _sets(batch, has_bit(bits.value, batch.column("bit").to_numpy()).nonzero()[0]):
             if len(s) and i is not None:
-                late = often.has(s)
+                level = often.of(s)
                 marks = np.zeros(1 << max(6, (len(s) * 8 - 1).bit_length()), np.uint8)
                 marks[(s & _U(len(marks) - 1)).astype(np.int64)] = 1
-                rows.append((i, len(s), *((prefix(s, late, k) >> _U(32)).astype(np.uint32).view(np.int32) for k in (1, 2)), np.packbits(marks).tobytes()))
+                rows.append((i, len(s), *((prefix(s, level, k) >> _U(32)).astype(np.uint32).view(np.int32) for k in (1, 2)), np.packbits(marks).tobytes()))
         cols = list(zip(*rows, strict=True)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()), strict=True)], names=["id", "n", "p", "q", "marks"])
 
@@ -337,8 +351,11 @@ def join_documents(docs: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     survey = written(docs.mapInArrow(_survey, SURVEY), "survey")
-    top = survey.where("token is not null").groupBy("token").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") >= TOTAL_COUNT).orderBy(F.desc("cnt"), "token").limit(FREQUENT).select("token")
-    frequent = sc.broadcast(np.sort(np.array([r[0] for r in top.collect()], np.int64).view(_U)))
+    top = survey.where("token is not null").groupBy("token").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") >= TOTAL_COUNT).orderBy(F.desc("cnt"), "token").limit(FREQUENT)
+    top = top.select("token", F.floor(F.log2("cnt") * 2).cast("int").alias("level")).toPandas()
+    token = top["token"].to_numpy().view(_U)
+    by = np.argsort(token)
+    frequent = sc.broadcast((token[by], np.minimum(top["level"].to_numpy()[by], 62).astype(_U)))
     rows = survey.where("token is null").select("doc_id", "n", "digest")
     reps = rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     named = written(rows.join(reps, "digest", "left").select("doc_id", "n", "rep"), "named")
