@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from factloom.plans import decisions, documents, measures, relations, streams
+from factloom.plans import decisions, documents, measures, publishing, relations, streams
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (decisions, relations, measures, documents, streams):
+for _module in (decisions, relations, measures, documents, publishing, streams):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
