@@ -25,12 +25,17 @@ WORDS = 5
 PERCENT = 75
 #: Tokens held as frequent at most (5 MB on the driver and in a broadcast). Any choice gives the same result.
 FREQUENT = 1 << 19
-#: Occurrences within one flush of a task, and in all flushes, from which a token counts as frequent.
-LOCAL_COUNT, TOTAL_COUNT = 3, 8
+#: Occurrences from which a token counts as frequent: within one flush of a task for it to be reported at all (tokens
+#: outside COUNTED), and in all.
+LOCAL_COUNT, TOTAL_COUNT = 3, 5
+#: Share of the hash space in which every token is counted: prefixes take theirs from there unless most tokens are frequent.
+COUNTED = 0.3
 #: Tokens that a task holds before it flushes its counts or pairs.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Members that each member of a larger group meets at first.
-PIVOTS = 4
+PIVOTS = 8
+#: Members of a block of a larger group.
+BLOCK = 256
 #: Up to this size all pairs of a prefix group are candidates at once.
 SMALL_GROUP = 4
 _U = np.uint64
@@ -147,19 +152,26 @@ def _sets(batch: pa.RecordBatch, take=None) -> Iterator[tuple[int, np.ndarray]]:
         yield from zip((x for x, _ in held), shingle_sets([t for _, t in held]), strict=True)
 
 
+def _sliced(batch: pa.RecordBatch, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """A large batch in parts, which the JVM takes one at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 SURVEY = "doc_id long, n long, digest binary, token long, cnt long"
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and one for each token that is frequent within a flush."""
+    """A row for each document; counts of the tokens of a flush that are frequent in it, or whose first hash is low."""
     held, size = [], 0
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("token", pa.int64()), ("cnt", pa.int64())])
 
     def flush() -> Iterator[pa.RecordBatch]:
         token, cnt = np.unique(np.concatenate(held), return_counts=True)
-        token, cnt = token[cnt >= LOCAL_COUNT], cnt[cnt >= LOCAL_COUNT]
+        keep = (cnt >= LOCAL_COUNT) | (mix(token, 0) < _U(int(COUNTED * 2**64)))
+        token, cnt = token[keep], cnt[keep]
         none = pa.nulls(len(token), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(token), pa.binary()), pa.array(token.view(np.int64)), pa.array(cnt)], schema=schema)
+        yield from _sliced(pa.RecordBatch.from_arrays([none, none, pa.nulls(len(token), pa.binary()), pa.array(token.view(np.int64)), pa.array(cnt)], schema=schema))
 
     for batch in batches:
         ids, ns, digests = [], [], []
@@ -172,8 +184,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size >= FLUSH:
                 yield from flush()
                 held, size = [], 0
-        none = pa.nulls(len(ids), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), none, none], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(len(ids), pa.int64()), pa.array([1] * len(ids), pa.int64())], schema=schema)
     if held:
         yield from flush()
 
@@ -206,7 +217,8 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     token null: a pair (a, b) that shares a prefix token and fits by size, each once for a flush. token not null: a
     member a of a large group, whose first pivot is b; only its pairs with the pivots are among the pairs. Pivots are the members with the
-    smallest hashes, so that groups with the same members have the same pivots.
+    smallest hashes, so that groups with the same members have the same pivots, and the smallest sets, which are the
+    most like all others where the members share a core.
     """
     schema = pa.schema([("token", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32())])
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
@@ -243,6 +255,8 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             group = np.repeat(np.arange(len(many)), count[many])
             for r in range(PIVOTS):
                 h = mix(d[at].view(_U), 1000 + r)
+                if r % 2:
+                    h = h >> _U(32) | n[at].astype(_U) << _U(32)
                 low = np.minimum.reduceat(h, np.r_[0, np.cumsum(count[many])[:-1]])
                 pivot = np.zeros(len(many), np.int64)
                 hit = np.flatnonzero(h == low[group])
@@ -252,7 +266,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     first = d[pivot[group]]
             yield pa.RecordBatch.from_arrays([pa.array(t[at]), pa.array(d[at]), pa.array(first), pa.array(n[at])], schema=schema)
         if size >= FLUSH // 2:
-            yield flush()
+            yield from _sliced(flush())
             pairs, size = [], 0
 
     left: list[np.ndarray] | None = None
@@ -271,7 +285,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if left is not None and len(left[0]):
         yield from groups(*left)
     if pairs:
-        yield flush()
+        yield from _sliced(flush())
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], frequent, bits) -> Iterator[pa.RecordBatch]:
@@ -317,6 +331,78 @@ def _whole(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([s.view(np.int64) for _, s in rows], pa.list_(pa.int64()))], names=["id", "s"])
 
 
+def _close(x: dict, y: dict | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the pairs, of one block (y None) or between two, that may link by sizes and bit sets and are not joined yet."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    other = x if y is None else y
+
+    def folded(d: dict, rows: np.ndarray, w: int) -> np.ndarray:
+        """Bit sets as rows of 64-bit words, folded to w bits."""
+        return np.array([np.bitwise_or.reduce(np.frombuffer(d["marks"][r], np.uint8).reshape(-1, w // 8), 0) for r in rows]).view(_U)
+
+    for w in sorted(set(x["width"]) | set(other["width"])):
+        for wx, wy in ((w, w), (w, 2 * w), (2 * w, w)):  # sizes of a pair differ by less than the factor 2
+            i, j = np.flatnonzero(x["width"] == wx), np.flatnonzero(other["width"] == wy)
+            if not len(i) or not len(j) or y is None and wx > wy:
+                continue
+            b, nb, cb = folded(other, j, w), other["n"][j], other["c"][j]
+            spare_b = nb - np.bitwise_count(b).sum(1, dtype=np.int64)
+            for r in i:  # a row against the block: memory for one copy of the block
+                a, na = folded(x, np.array([r]), w)[0], x["n"][r]
+                ok = (cb != x["c"][r]) & (np.minimum(na, nb) * 100 >= PERCENT * np.maximum(na, nb))
+                if y is None and wx == wy:
+                    ok &= j > r
+                at = np.flatnonzero(ok)
+                if len(at):
+                    most = np.bitwise_count(a & b[at]).sum(1, dtype=np.int64) + np.minimum(na - int(np.bitwise_count(a).sum()), spare_b[at])
+                    hit = j[at[most * 100 >= PERCENT * (na + nb[at] - most)]]
+                    out.append((np.full(len(hit), x["a"][r]), other["a"][hit]))
+    return tuple(np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of _close() within groups of equal token, lo and hi, from sorted rows; a group has two blocks at most."""
+    held: pa.Table | None = None
+
+    def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        cols = {k: t.column(k).to_numpy() for k in ("token", "lo", "hi", "side", "a", "n", "c")}
+        marks = t.column("marks").to_pylist()
+        start = np.flatnonzero(np.r_[True, np.logical_or.reduce([np.diff(cols[k]) != 0 for k in ("token", "lo", "hi")])])
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for s, e in zip(start, np.r_[start[1:], len(t)], strict=True):
+            rows = {k: v[s:e] for k, v in cols.items()} | {"marks": np.array(marks[s:e], object), "width": np.array([8 * len(m) for m in marks[s:e]])}
+            if e - s < 2 or (rows["c"] == rows["c"][0]).all():
+                continue
+            if rows["lo"][0] == rows["hi"][0]:
+                found.append(_close(rows, None))
+            else:
+                x, y = ({k: v[rows["side"] == z] for k, v in rows.items()} for z in (0, 1))
+                if len(x["a"]) and len(y["a"]):
+                    found.append(_close(x, y))
+        if found:
+            a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["a", "b"])
+
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        keys = [held.column(k).to_numpy() for k in ("token", "lo", "hi")]
+        same = np.logical_and.reduce([k == k[-1] for k in keys]) if len(held) else np.zeros(0, bool)
+        cut = int(np.argmax(same)) if len(held) else 0
+        if cut:
+            yield from solve(held.slice(0, cut))
+            held = held.slice(cut)
+    if held is not None and len(held):
+        yield from solve(held)
+
+
+def _sketched(docs: DataFrame, ids: DataFrame, frequent) -> DataFrame:
+    """id, n, p, q, marks of the documents, and some others by chance of the bitmap."""
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(ids, "id"))
+    return docs.withColumn("bit", bit_of(F.col("doc_id"))).mapInArrow(lambda it: _sketches(it, frequent, bits), "id long, n long, p array<int>, q array<int>, marks binary")
+
+
 def _ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b"))
 
@@ -331,9 +417,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, frequent, name: str) -> DataFra
             pairs = pairs.join(rows.select(F.col("id").alias(c), *(F.col(x).alias(f"{x[0]}{c}") for x in rows.columns if x != "id")), c)
         return pairs
 
-    bits = sc.broadcast(bitmap(_ids(pairs), "id"))
-    sketches = keyed.mapInArrow(lambda it: _sketches(it, frequent, bits), "id long, n long, p array<int>, q array<int>, marks binary")
-    left = written(both(pairs, sketches).mapInArrow(_may_link, "a long, b long"), f"{name}-left")
+    left = written(both(pairs, _sketched(docs, _ids(pairs), frequent)).mapInArrow(_may_link, "a long, b long"), f"{name}-left")
     few = sc.broadcast(bitmap(_ids(left), "id"))
     whole = keyed.mapInArrow(lambda it: _whole(it, few), "id long, s array<long>")
     found = both(left, whole).select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"), (F.size("sa") + F.size("sb")).cast("long").alias("sizes"))
@@ -350,13 +434,14 @@ def join_documents(docs: DataFrame) -> DataFrame:
     spark = ready(docs.sparkSession)
     sc = spark.sparkContext
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    survey = written(docs.mapInArrow(_survey, SURVEY), "survey")
-    top = survey.where("token is not null").groupBy("token").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") >= TOTAL_COUNT).orderBy(F.desc("cnt"), "token").limit(FREQUENT)
+    counted = docs.mapInArrow(_survey, SURVEY).groupBy("doc_id", "n", "digest", "token").agg(F.sum("cnt").alias("cnt"))
+    survey = written(counted.where(F.col("token").isNull() | (F.col("cnt") >= TOTAL_COUNT)), "survey")
+    top = survey.where("token is not null").orderBy(F.desc("cnt"), "token").limit(FREQUENT)
     top = top.select("token", F.floor(F.log2("cnt") * 2).cast("int").alias("level")).toPandas()
     token = top["token"].to_numpy().view(_U)
     by = np.argsort(token)
     frequent = sc.broadcast((token[by], np.minimum(top["level"].to_numpy()[by], 62).astype(_U)))
-    rows = survey.where("token is null").select("doc_id", "n", "digest")
+    rows = survey.where("token is null").select("doc_id", "n", "digest", F.explode(F.sequence(F.lit(1), "cnt"))).drop("col")
     reps = rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     named = written(rows.join(reps, "digest", "left").select("doc_id", "n", "rep"), "named")
 
@@ -377,18 +462,18 @@ def join_documents(docs: DataFrame) -> DataFrame:
     links = tested.where(enough).select("a", "b")
     comp = written(components(links), "components")
 
-    # members of large groups that are in different components meet, unless the pivot's distances rule it out
-    rest = big.select("token", "n", F.col("a").alias("doc_id"), "b").join(rep_of, "doc_id").select("token", "n", F.col("rep").alias("a"), "b").join(comp, F.col("a") == F.col("node"), "left").select("token", "n", "a", "b", F.coalesce("component", "a").alias("c"))
-    mixed = rest.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("token")
-    rest = rest.join(mixed, "token").join(rep_of.select(F.col("doc_id").alias("b"), F.col("rep").alias("pivot")), "b").drop("b")
-    far = tested.select("a", "b", (1 - F.col("shared") / (F.col("sizes") - F.col("shared"))).alias("d"))
-    far = far.unionAll(far.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-    rest = written(rest.join(far.withColumnRenamed("b", "pivot"), ["a", "pivot"], "left").select("token", "n", "a", "c", "pivot", F.when(F.col("a") == F.col("pivot"), 0.0).otherwise(F.col("d")).alias("d")), "rest")
+    # members of large groups that are still in different components meet in blocks of their groups
+    rest = big.select("token", F.col("a").alias("doc_id")).join(rep_of, "doc_id").select("token", F.col("rep").alias("a")).distinct()
+    rest = rest.join(comp, F.col("a") == F.col("node"), "left").select("token", "a", F.coalesce("component", "a").alias("c"))
+    mixed = rest.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 <> c1").select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("cuts"))
+    rest = written(rest.join(mixed, "token"), "rest")
     if rest.take(1):
-        near = (F.col("x.pivot") != F.col("y.pivot")) | F.col("x.d").isNull() | F.col("y.d").isNull() | (F.abs(F.col("x.d") - F.col("y.d")) <= 1 - PERCENT / 100 + 1e-9)
-        more = rest.alias("x").join(rest.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & (F.least("x.n", "y.n") * 100 >= PERCENT * F.greatest("x.n", "y.n")) & near)
-        more = more.select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        extra = _verified(written(more, "more"), docs, frequent, "extra").where(enough).select("a", "b")
+        sketches = _sketched(docs, rest.select(F.col("a").alias("id")), frequent).select(F.col("id").alias("a"), F.col("n").cast("long"), "marks")
+        placed = rest.join(sketches, "a").withColumn("cut", F.pmod(F.xxhash64("a"), F.col("cuts"))).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+        placed = placed.select("token", F.least("cut", "with").alias("lo"), F.greatest("cut", "with").alias("hi"), (F.col("cut") > F.col("with")).cast("int").alias("side"), "a", "n", "c", "marks")
+        near = placed.repartition(parts, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_near, "a long, b long")
+        more = written(near.distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+        extra = _verified(more, docs, frequent, "extra").where(enough).select("a", "b")
         comp = written(components(links.unionAll(extra)), "components")
     return named.join(comp, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
