@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from factloom.llm import oracles
 from factloom.llm.decontaminate import op4_decontamination
 from factloom.llm.embedding_dedup import op7_embedding_dedup
 from factloom.llm.html_text import op10_html_text
@@ -14,4 +15,4 @@ from factloom.llm.quality import op2_quality_classifier
 from factloom.llm.token_counts import op6_token_counts
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_jaccard_join, op4_decontamination, op5_pii, op6_token_counts, op7_embedding_dedup, op8_language_id, op9_license_scan, op10_html_text)}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_jaccard_join": oracles.JACCARD, "op7_embedding_dedup": oracles.EMBEDDINGS, "op9_license_scan": oracles.LICENSES}
