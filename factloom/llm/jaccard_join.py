@@ -16,7 +16,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import bit_of, bitmap, components, has_bit, ready, table, written
@@ -332,7 +332,10 @@ def _whole(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
 
 
 def _close(x: dict, y: dict | None) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the pairs, of one block (y None) or between two, that may link by sizes and bit sets and are not joined yet."""
+    """Ids of the pairs, of one block (y None) or between two, that may link by sizes and bit sets and are not joined yet.
+
+    A pair counts in the group of the smallest token that it shares, so each is given once.
+    """
     out: list[tuple[np.ndarray, np.ndarray]] = []
     other = x if y is None else y
 
@@ -356,7 +359,10 @@ def _close(x: dict, y: dict | None) -> tuple[np.ndarray, np.ndarray]:
                 if len(at):
                     most = np.bitwise_count(a & b[at]).sum(1, dtype=np.int64) + np.minimum(na - int(np.bitwise_count(a).sum()), spare_b[at])
                     hit = j[at[most * 100 >= PERCENT * (na + nb[at] - most)]]
-                    out.append((np.full(len(hit), x["a"][r]), other["a"][hit]))
+                    if len(hit):
+                        mine, token = set(x["tokens"][r]), x["token"][0]
+                        hit = np.array([q for q in hit if min(mine.intersection(other["tokens"][q])) == token], np.int64)
+                        out.append((np.full(len(hit), x["a"][r]), other["a"][hit]))
     return tuple(np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
 
 
@@ -366,11 +372,12 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
         cols = {k: t.column(k).to_numpy() for k in ("token", "lo", "hi", "side", "a", "n", "c")}
-        marks = t.column("marks").to_pylist()
+        marks, tokens = t.column("marks").to_pylist(), np.empty(len(t), object)
+        tokens[:] = t.column("tokens").to_pylist()
         start = np.flatnonzero(np.r_[True, np.logical_or.reduce([np.diff(cols[k]) != 0 for k in ("token", "lo", "hi")])])
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for s, e in zip(start, np.r_[start[1:], len(t)], strict=True):
-            rows = {k: v[s:e] for k, v in cols.items()} | {"marks": np.array(marks[s:e], object), "width": np.array([8 * len(m) for m in marks[s:e]])}
+            rows = {k: v[s:e] for k, v in cols.items()} | {"tokens": tokens[s:e], "marks": np.array(marks[s:e], object), "width": np.array([8 * len(m) for m in marks[s:e]])}
             if e - s < 2 or (rows["c"] == rows["c"][0]).all():
                 continue
             if rows["lo"][0] == rows["hi"][0]:
@@ -469,8 +476,9 @@ def join_documents(docs: DataFrame) -> DataFrame:
     rest = written(rest.join(mixed, "token"), "rest")
     if rest.take(1):
         sketches = _sketched(docs, rest.select(F.col("a").alias("id")), frequent).select(F.col("id").alias("a"), F.col("n").cast("long"), "marks")
-        placed = rest.join(sketches, "a").withColumn("cut", F.pmod(F.xxhash64("a"), F.col("cuts"))).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-        placed = placed.select("token", F.least("cut", "with").alias("lo"), F.greatest("cut", "with").alias("hi"), (F.col("cut") > F.col("with")).cast("int").alias("side"), "a", "n", "c", "marks")
+        named_all = rest.withColumn("tokens", F.collect_list("token").over(Window.partitionBy("a")))  # at most a document's prefix
+        placed = named_all.join(sketches, "a").withColumn("cut", F.pmod(F.xxhash64("a"), F.col("cuts"))).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+        placed = placed.select("token", F.least("cut", "with").alias("lo"), F.greatest("cut", "with").alias("hi"), (F.col("cut") > F.col("with")).cast("int").alias("side"), "a", "n", "c", "marks", "tokens")
         near = placed.repartition(parts, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_near, "a long, b long")
         more = written(near.distinct().join(pairs, ["a", "b"], "left_anti"), "more")
         extra = _verified(more, docs, frequent, "extra").where(enough).select("a", "b")
