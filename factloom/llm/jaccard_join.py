@@ -34,6 +34,8 @@ COUNTED = 0.3
 FLUSH = 1_000_000
 #: Members that each member of a larger group meets at first.
 PIVOTS = 8
+#: Tokens by which a member of a larger group tells where else it meets another.
+TOKENS = 16
 #: Members of a block of a larger group.
 BLOCK = 256
 #: Up to this size all pairs of a prefix group are candidates at once.
@@ -334,7 +336,8 @@ def _whole(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
 def _close(x: dict, y: dict | None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the pairs, of one block (y None) or between two, that may link by sizes and bit sets and are not joined yet.
 
-    A pair counts in the group of the smallest token that it shares, so each is given once.
+    A pair is given in the group of the smallest token that it is known to share (each row holds its smallest TOKENS
+    tokens), so most pairs are given once, and none is lost.
     """
     out: list[tuple[np.ndarray, np.ndarray]] = []
     other = x if y is None else y
@@ -361,7 +364,7 @@ def _close(x: dict, y: dict | None) -> tuple[np.ndarray, np.ndarray]:
                     hit = j[at[most * 100 >= PERCENT * (na + nb[at] - most)]]
                     if len(hit):
                         mine, token = set(x["tokens"][r]), x["token"][0]
-                        hit = np.array([q for q in hit if min(mine.intersection(other["tokens"][q])) == token], np.int64)
+                        hit = np.array([q for q in hit if min(mine.intersection(other["tokens"][q]), default=token) >= token], np.int64)
                         out.append((np.full(len(hit), x["a"][r]), other["a"][hit]))
     return tuple(np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
 
@@ -476,7 +479,8 @@ def join_documents(docs: DataFrame) -> DataFrame:
     rest = written(rest.join(mixed, "token"), "rest")
     if rest.take(1):
         sketches = _sketched(docs, rest.select(F.col("a").alias("id")), frequent).select(F.col("id").alias("a"), F.col("n").cast("long"), "marks")
-        named_all = rest.withColumn("tokens", F.collect_list("token").over(Window.partitionBy("a")))  # at most a document's prefix
+        own = F.collect_list("token").over(Window.partitionBy("a"))  # at most a document's prefix
+        named_all = rest.withColumn("tokens", F.slice(F.sort_array(own), 1, TOKENS))
         placed = named_all.join(sketches, "a").withColumn("cut", F.pmod(F.xxhash64("a"), F.col("cuts"))).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
         placed = placed.select("token", F.least("cut", "with").alias("lo"), F.greatest("cut", "with").alias("hi"), (F.col("cut") > F.col("with")).cast("int").alias("side"), "a", "n", "c", "marks", "tokens")
         near = placed.repartition(parts, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_near, "a long, b long")
