@@ -141,7 +141,8 @@ def main_text(page: list[tuple[str, int]], shared: set[int]) -> str:
 
 
 def _hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+    """32 bits are enough to align the lines of two pages, and half the bytes to move."""
+    return xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 31)
 
 
 def _address(url: str | None) -> tuple[str, str]:
@@ -156,7 +157,7 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         where = [_address(u) for u in batch.column("url").to_pylist()]
         found = [[_hash(t) for t, _ in lines(p)] for p in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([h for h, _ in where]), pa.array([p for _, p in where]), pa.array(found, pa.list_(pa.int64()))], names=["key", "host", "path", "lines"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([h for h, _ in where]), pa.array([p for _, p in where]), pa.array(found, pa.list_(pa.int32()))], names=["key", "host", "path", "lines"])
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +176,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "host", "path", "key").sortWithinPartitions("host", "path", "key")
-    numbered = written(ordered.mapInArrow(_numbered, "key long, host string, path string, lines array<long>, part long, at long"), "url-order")
+    numbered = written(ordered.mapInArrow(_numbered, "key long, host string, path string, lines array<int>, part long, at long"), "url-order")
     size = numbered.groupBy("part").count()  # a row for each partition
     base = size.withColumn("base", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "base")
     placed = numbered.join(F.broadcast(base), "part").select((F.col("at") + F.col("base")).alias("no"), "key", "host", "path", "lines")
@@ -186,9 +187,15 @@ def neighbours(rows: DataFrame) -> DataFrame:
     return met.groupBy("key").agg(F.max_by("other", F.struct(near.alias("near"), F.col("d"), F.col("k"))).alias("other"))
 
 
+def _needed(page: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """The lines that main_text() can keep or must align: those of the main region, or all if there is none."""
+    main = [x for x in page if x[1] == MAIN]
+    return main or page
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [lines(p) for p in batch.column("html").to_pylist()]
+        found = [_needed(lines(p)) for p in batch.column("html").to_pylist()]
         cols = [pa.array([[x[k] for x in f] for f in found], t) for k, t in ((0, pa.list_(pa.string())), (1, pa.list_(pa.int32())))]
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("page_id"), batch.column("url"), *cols], names=["key", "page_id", "url", "lines", "kinds"])
 
@@ -213,7 +220,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     ready(pages.sparkSession)
     keyed = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("key"))
-    hashes = keyed.mapInArrow(_hashes, "key long, host string, path string, lines array<long>").dropDuplicates(["key"])
+    hashes = keyed.mapInArrow(_hashes, "key long, host string, path string, lines array<int>").dropDuplicates(["key"])
     text = keyed.mapInArrow(_lines, "key long, page_id long, url string, lines array<string>, kinds array<int>")
     return text.join(neighbours(hashes), "key", "left").mapInArrow(_difference, "page_id long, url string, text string, n_chars long")
 
