@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,60 @@ def gold_match(gold: DataFrame, claims: DataFrame, keys: Sequence[str], matched:
     return gold.join(claims.select(*keys).distinct(), list(keys), "left_semi" if matched else "left_anti")
 
 
+#: An odd base and its inverse modulo 2**64, for hashes of windows; characters hashed at once.
+_BASE, _INVERSE, _STEP = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64), 1 << 18
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _window_hashes(codes: np.ndarray, length: int, up: np.ndarray, down: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of length codes, by sums of codes times powers of the base."""
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * up[: len(codes)], out=sums[1:])
+    return (sums[length:] - sums[:-length]) * down[: len(codes) - length + 1]
+
+
+def windows_among(rows: DataFrame, text: str, heads: DataFrame, head: str, length: int) -> DataFrame:
+    """head: the windows of length characters, at any place of the whole texts, that are among the heads.
+
+    Every window is hashed, and those with the hash of a head are given, once for each text; only the hashes of the
+    distinct heads, 8 bytes each, pass through the driver. A window that merely shares a hash may be among them, so an
+    equi-join with the heads must follow, as in gold_match.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up, down = _powers(_BASE, length), _powers(_INVERSE, length)
+        for batch in batches:
+            found = [int(_window_hashes(np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64), length, up, down)[0].view(np.int64)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["h"])
+
+    whole = heads.where(F.length(head) == length).select(head).distinct()
+    wanted = np.unique(np.array([r.h for r in whole.mapInArrow(hashed, "h long").collect()], np.int64).view(np.uint64))
+    maybe = np.zeros(1 << 16, bool)
+    maybe[wanted >> np.uint64(48)] = True
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up, down = _powers(_BASE, _STEP + length), _powers(_INVERSE, _STEP + length)
+        for batch in batches:
+            out: list[str] = []
+            for column in batch.column(0):
+                t = column.as_py()
+                found: set[str] = set()
+                for at in range(0, len(t) - length + 1, _STEP):
+                    codes = np.frombuffer(t[at : at + _STEP + length - 1].encode("utf-32-le"), np.uint32).astype(np.uint64)
+                    h = _window_hashes(codes, length, up, down)
+                    near = np.flatnonzero(maybe[h >> np.uint64(48)])
+                    found.update(t[at + i : at + i + length] for i in near[np.isin(h[near], wanted)].tolist())
+                out += found
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=[head])
+
+    return rows.where(F.length(text) >= length).select(text).mapInArrow(probed, f"{head} string")
+
+
 def containment(inner: DataFrame, outer: DataFrame, key: Sequence[str], start: str, end: str) -> DataFrame:
     """Pairs of intervals of a key in which the first lies strictly inside the second: key, in_*, out_*."""
     a = inner.select(*key, F.col(start).alias("in_start"), F.col(end).alias("in_end"))
