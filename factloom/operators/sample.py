@@ -70,14 +70,19 @@ def pick_one_per_host(candidates: list[tuple[str, str, str, str | None]], quota:
 
 
 def split(rows: DataFrame, key: str, stratum: Sequence[str], sizes: Sequence[int], seed: str) -> DataFrame:
-    """rows with part: disjoint parts of the given sizes, dealt within strata by digest rank; beyond them: null."""
+    """rows with part: disjoint parts of the given sizes, dealt within strata by digest rank; beyond them: null.
+
+    The key is unique. A row stands in the global order behind all rows of its stratum with smaller digests, so only the
+    sum of the sizes of each stratum, a bounded catalogue, come together in one window, however many rows there are.
+    """
     ranked = rows.withColumn("digest", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256))
-    n, k = F.count(F.lit(1)).over(Window.partitionBy(*stratum)), F.row_number().over(Window.partitionBy(*stratum).orderBy("digest"))
-    placed = ranked.withColumn("_q", (k - 0.5) / n)
-    order = F.row_number().over(Window.partitionBy().orderBy("_q", "digest"))  # of the sample, which is bounded
-    out = placed.withColumn("_at", order)
+    first = ranked.select(key, "digest", F.struct(*stratum).alias("_s")).withColumn("_k", F.row_number().over(Window.partitionBy("_s").orderBy("digest"))).where(F.col("_k") <= sum(sizes))
+    n = ranked.groupBy(F.struct(*stratum).alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = first.join(F.broadcast(n), F.col("_s").eqNullSafe(F.col("_t"))).withColumn("_q", (F.col("_k") - 0.5) / F.col("_n"))
+    placed = placed.withColumn("_at", F.row_number().over(Window.partitionBy().orderBy("_q", "digest"))).where(F.col("_at") <= sum(sizes))
     part, at = F.lit(None).cast("int"), 0
     for i, size in enumerate(sizes):
         part = F.when((F.col("_at") > at) & (F.col("_at") <= at + size), i).otherwise(part)
         at += size
-    return out.withColumn("part", part).drop("_q", "_at")
+    picked = placed.select(F.col(key).alias("_key"), part.alias("part"))
+    return ranked.join(F.broadcast(picked), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
