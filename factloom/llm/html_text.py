@@ -2,8 +2,9 @@
 
 Pages of a host are sorted by URL path, and each is paired with the nearer of its neighbours. The text lines of the two
 pages are aligned by their longest common subsequence and shared lines are deleted: menus, notices and footers that a
-site repeats. Lines inside an article or main element are kept even if shared, as copies and quoted passages share
-them too, and lines of elements that are marked as menus, adverts, forms or comments go even if not shared.
+site repeats. That decides for all lines without marks, also beside an article or main element. Lines inside such an
+element are kept even if shared, as copies and quoted passages share them too, and lines of elements that are marked as
+menus, adverts, forms or comments go even if not shared.
 """
 
 from __future__ import annotations
@@ -134,10 +135,8 @@ def common(a: list, b: list) -> list[int]:
 
 
 def main_text(page: list[tuple[str, int]], shared: set[int]) -> str:
-    """The lines that stay: those of the main region; without one, those that are neither marked nor shared."""
-    if any(kind == MAIN for _, kind in page):
-        return "\n".join(text for text, kind in page if kind == MAIN)
-    return "\n".join(text for k, (text, kind) in enumerate(page) if kind == OTHER and k not in shared)
+    """The lines that stay: those of the main region, and those that are neither marked nor shared."""
+    return "\n".join(text for k, (text, kind) in enumerate(page) if kind == MAIN or kind == OTHER and k not in shared)
 
 
 def _hash(text: str) -> int:
@@ -188,9 +187,8 @@ def neighbours(rows: DataFrame) -> DataFrame:
 
 
 def _needed(page: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """The lines that main_text() can keep or must align: those of the main region, or all if there is none."""
-    main = [x for x in page if x[1] == MAIN]
-    return main or page
+    """The lines that main_text() can keep: those that are not marked."""
+    return [x for x in page if x[1] != MARK]
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -105,6 +105,13 @@ def test_shared_lines_of_a_host_go(spark):
     assert got[99].startswith("Welcome to us")  # alone on its host
 
 
+def test_unmarked_lines_beside_a_main_region(spark):
+    page = lambda k: f"<div>We use biscuits</div><article><h2>Teaser {k}</h2></article><div>Body {k} begins</div><div>and goes on {k}</div><div>Imprint and terms</div>"
+    rows = [(k, f"https://h.example/news/{k}", page(k)) for k in range(6)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Teaser {k}\nBody {k} begins\nand goes on {k}" for k in range(6)}
+
+
 def test_common_is_a_longest_common_subsequence():
     rng = random.Random(4)
 
