@@ -1,7 +1,8 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages of a host are sorted by URL path, and each is paired with the nearer of its neighbours. The text lines of the two
-pages are aligned by their longest common subsequence and shared lines are deleted: menus, notices and footers that a
+Pages of a host are sorted by URL path, and each is paired with the nearer of the pages before and behind it that are no
+copies: copies, side by side with equal unmarked lines, tell nothing about what the site repeats. The page's unmarked
+lines and those of the other are aligned by their longest common subsequence and shared lines are deleted: menus, notices and footers that a
 site repeats. That decides for all lines without marks, also beside an article or main element. Lines inside such an
 element are kept even if shared, as copies and quoted passages share them too, and lines of elements that are marked as
 menus, adverts, forms or comments go even if not shared.
@@ -144,6 +145,11 @@ def _hash(text: str) -> int:
     return xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 31)
 
 
+def _digest(page: list[tuple[str, int]]) -> int:
+    """Equal for pages with the same unmarked lines."""
+    return xxhash.xxh64_intdigest("\n".join(t for t, _ in _needed(page)).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def _address(url: str | None) -> tuple[str, str]:
     try:
         parts = urlsplit(url or "")
@@ -155,33 +161,74 @@ def _address(url: str | None) -> tuple[str, str]:
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         where = [_address(u) for u in batch.column("url").to_pylist()]
-        found = [[_hash(t) for t, _ in lines(p)] for p in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([h for h, _ in where]), pa.array([p for _, p in where]), pa.array(found, pa.list_(pa.int32()))], names=["key", "host", "path", "lines"])
+        pages = [lines(p) for p in batch.column("html").to_pylist()]
+        found, digests = [[_hash(t) for t, _ in p] for p in pages], [_digest(p) for p in pages]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([h for h, _ in where]), pa.array([p for _, p in where]), pa.array(found, pa.list_(pa.int32())), pa.array(digests, pa.int64())], names=["key", "host", "path", "lines", "digest"])
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, at = TaskContext.get().partitionId(), 0
+    """Adds the partition, the place in it, the group of copies, and whether the row is the group's first or last here."""
+    part, at, run, before, held = TaskContext.get().partitionId(), 0, -1, None, None
+
+    def done(held: tuple, after: tuple | None) -> pa.RecordBatch:
+        batch, at, runs, first, pages = held
+        n = len(pages)
+        last = [a != b for a, b in zip(pages, [*pages[1:], after], strict=True)]
+        for name, values in (("part", np.full(n, part, np.int64)), ("at", np.arange(at, at + n)), ("run", np.array(runs, np.int64)), ("first", np.array(first, bool)), ("last", np.array(last, bool))):
+            batch = batch.append_column(name, pa.array(values))
+        return batch
+
     for batch in batches:
-        n = batch.num_rows
-        yield batch.append_column("part", pa.array(np.full(n, part, np.int64))).append_column("at", pa.array(np.arange(at, at + n)))
-        at += n
+        pages = list(zip(batch.column("host").to_pylist(), batch.column("digest").to_pylist(), strict=True))
+        if not pages:
+            continue
+        if held:
+            yield done(held, pages[0])
+        runs, first = [], []
+        for page in pages:
+            first.append(page != before)
+            run += first[-1]
+            runs.append(run)
+            before = page
+        held = batch, at, runs, first, pages
+        at += len(pages)
+    if held:
+        yield done(held, None)
+
+
+#: So many rows of a long group of copies meet the pages before and behind it in one place.
+TOGETHER = 1000
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """(key, other): the lines of the page whose URL path is nearest on the same host; rows: key, host, path, lines.
+    """(key, other): the lines of the nearer of the pages before and behind on the host that are no copies, by URL path.
 
-    A global order by host and path gives every page a number; pages meet those of the next and the last number by
-    an equi-join, so that no host stands in one task.
+    rows: key, host, path, lines, digest. A global order by host and path gives a number to every group of copies, most
+    often a single page; pages meet the last page of the group before and the first of the group behind by an equi-join,
+    so that no host stands in one task.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "host", "path", "key").sortWithinPartitions("host", "path", "key")
-    numbered = written(ordered.mapInArrow(_numbered, "key long, host string, path string, lines array<int>, part long, at long"), "url-order")
-    size = numbered.groupBy("part").count()  # a row for each partition
-    base = size.withColumn("base", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "base")
-    placed = numbered.join(F.broadcast(base), "part").select((F.col("at") + F.col("base")).alias("no"), "key", "host", "path", "lines")
-    # to each number go the page's own row and those of the pages before and behind it
-    sent = placed.select("host", "path", "lines", "key", F.explode(F.array(F.struct((F.col("no") - 1).alias("no"), F.lit(1).alias("d")), F.struct((F.col("no") + 1).alias("no"), F.lit(-1).alias("d")))).alias("x")).select("x.no", "x.d", F.col("host").alias("h"), F.col("path").alias("p"), F.col("lines").alias("other"), F.col("key").alias("k"))
-    met = placed.select("no", "key", "host", "path").join(sent, "no").where("host = h and key <> k")
+    numbered = written(ordered.mapInArrow(_numbered, "key long, host string, path string, lines array<int>, digest long, part long, at long, run long, first boolean, last boolean"), "url-order")
+    # a row for each partition; its first group may go on with the last one of the partition before
+    page, order = F.struct("host", "digest"), Window.orderBy("part")
+    size = numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n"), (F.max("run") + 1).alias("runs"), F.min_by(page, "at").alias("head"), F.max_by(page, "at").alias("tail"))
+    size = size.withColumn("on", F.coalesce(F.col("head") == F.lag("tail").over(order), F.lit(False)))
+    sums = order.rowsBetween(Window.unboundedPreceding, 0)
+    base = size.select("part", "n", "on", F.coalesce(F.lead("on").over(order), F.lit(False)).alias("next_on"), (F.sum("n").over(sums) - F.col("n")).alias("base"), (F.sum(F.col("runs") - F.col("on").cast("long")).over(sums) - F.col("runs")).alias("runs_before"))
+    first = F.col("first") & ~((F.col("at") == 0) & F.col("on"))
+    last = F.col("last") & ~((F.col("at") == F.col("n") - 1) & F.col("next_on"))
+    placed = numbered.join(F.broadcast(base), "part").select((F.col("at") + F.col("base")).alias("no"), (F.col("run") + F.col("runs_before")).alias("run"), first.alias("first"), last.alias("last"), "key", "host", "path", "lines")
+    # long groups, at most one for each TOGETHER rows, are dealt out by the number of the row
+    long = placed.groupBy("run").agg(F.min("no").alias("low"), F.max("no").alias("high")).where(F.col("high") - F.col("low") >= TOGETHER)
+    long = F.broadcast(written(long.select("run", F.expr(f"low div {TOGETHER}").alias("low"), F.expr(f"high div {TOGETHER}").alias("high")), "copies"))
+    zero = F.lit(0).cast("long")
+    own = placed.join(long, "run", "left").select("run", F.when(F.col("low").isNull(), zero).otherwise(F.expr(f"no div {TOGETHER}")).alias("deal"), "key", "host", "path")
+    # the lines of a group's first page go to the group before, those of its last page to the group behind
+    to = F.array_compact(F.array(F.when(F.col("first"), F.struct((F.col("run") - 1).alias("run"), F.lit(-1).alias("d"))), F.when(F.col("last"), F.struct((F.col("run") + 1).alias("run"), F.lit(1).alias("d")))))
+    sent = placed.where("first or last").select(F.col("host").alias("h"), F.col("path").alias("p"), F.col("lines").alias("other"), F.col("key").alias("k"), F.explode(to).alias("x")).select("x.run", "x.d", "h", "p", "other", "k")
+    sent = sent.join(long, "run", "left").withColumn("deal", F.explode(F.when(F.col("low").isNull(), F.array(zero)).otherwise(F.sequence("low", "high")))).drop("low", "high")
+    met = own.join(sent, ["run", "deal"]).where("host = h")
     near = F.aggregate(F.sequence(F.lit(1), F.least(F.length("path"), F.length("p"), F.lit(200))), F.lit(0), lambda acc, i: F.when((acc == i - 1) & (F.substring("path", F.lit(1), i) == F.substring("p", F.lit(1), i)), i).otherwise(acc))
     return met.groupBy("key").agg(F.max_by("other", F.struct(near.alias("near"), F.col("d"), F.col("k"))).alias("other"))
 
@@ -203,8 +250,6 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for own, kinds, other in zip(*(batch.column(c).to_pylist() for c in ("lines", "kinds", "other")), strict=True):
             shared = set(common([_hash(t) for t in own], other)) if other else set()
-            if len(shared) > 0.8 * len(own):
-                shared = set()  # a copy of the page tells nothing about what the site repeats
             texts.append(main_text(list(zip(own, kinds, strict=True)), shared))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
@@ -213,12 +258,13 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (columns page_id, url and html).
 
     Null or empty html gives an empty text; pages without a usable URL are of one nameless host; a page alone on its
-    host has no shared lines. Repeated rows and null ids give a row each. Other columns are ignored; an empty table
+    host, or there with copies only, has no shared lines. Shared lines go however many they are, so of near copies without
+    a main region only the lines that differ stay. Repeated rows and null ids give a row each. Other columns are ignored; an empty table
     gives no rows.
     """
     ready(pages.sparkSession)
     keyed = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("key"))
-    hashes = keyed.mapInArrow(_hashes, "key long, host string, path string, lines array<int>").dropDuplicates(["key"])
+    hashes = keyed.mapInArrow(_hashes, "key long, host string, path string, lines array<int>, digest long").dropDuplicates(["key"])
     text = keyed.mapInArrow(_lines, "key long, page_id long, url string, lines array<string>, kinds array<int>")
     return text.join(neighbours(hashes), "key", "left").mapInArrow(_difference, "page_id long, url string, text string, n_chars long")
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from factloom.llm import common, embedding_dedup, html_text
 
@@ -112,6 +113,36 @@ def test_unmarked_lines_beside_a_main_region(spark):
     assert got == {k: f"Teaser {k}\nBody {k} begins\nand goes on {k}" for k in range(6)}
 
 
+def test_long_menus_and_notices_beside_copies_go(spark):
+    menu = "".join(f"<div>Menu {k}</div>" for k in range(10))
+    rows = [(k, f"https://h.example/{k:02}", f"{menu}<p>Own {k}</p><p>End {k}</p>") for k in range(4)]
+    rows += [(k, f"https://c.example/{k:02}", f"<div>Notice</div><p>Story {k // 4 * 4}</p>") for k in range(10, 22)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Own {k}\nEnd {k}" for k in range(4)} | {k: f"Story {k // 4 * 4}" for k in range(10, 22)}
+
+
+@pytest.mark.parametrize("together", [3, 1000])
+def test_neighbours_are_no_copies(spark, monkeypatch, together):
+    monkeypatch.setattr(html_text, "TOGETHER", together)
+    rng = random.Random(together)
+    rows = []
+    for host, end in zip("abcd", (150, 151, 190, 240), strict=True):
+        while len(rows) < end:
+            digest = rng.randrange(5)
+            rows += [(k, host, f"/{k:03}", [k], digest) for k in range(len(rows), len(rows) + rng.choice([1, 1, 2, 40]))]
+    rows += [(k, "e", f"/{k:03}", [k], 7) for k in range(len(rows), len(rows) + 20)]  # copies only
+    near = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), len(a))
+    want = {}
+    for i, (k, host, path, _, digest) in enumerate(rows):
+        before = next((r for r in reversed(rows[:i]) if (r[1], r[4]) != (host, digest)), None)
+        after = next((r for r in rows[i + 1 :] if (r[1], r[4]) != (host, digest)), None)
+        both = [(near(path, r[2]), d, r[3]) for r, d in ((before, 1), (after, -1)) if r and r[1] == host]
+        if both:
+            want[k] = max(both)[2]
+    table = spark.createDataFrame(rng.sample(rows, len(rows)), "key long, host string, path string, lines array<int>, digest long")
+    assert {r.key: r.other for r in html_text.neighbours(table).collect()} == want
+
+
 def test_common_is_a_longest_common_subsequence():
     rng = random.Random(4)
 
