@@ -16,7 +16,7 @@ from factloom.llm.common import ready, table
 
 SHINGLE = 5
 SIMILARITY = 0.75
-RADIUS, BLOCKS, BITS = 15, 16, 4
+RADIUS, BLOCKS, BITS = 21, 22, 3  # the last block has one bit
 #: Rows up to which a side is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 NOT_WORD = r"[^\p{L}\p{N}\p{M}]+"

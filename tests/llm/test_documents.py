@@ -200,6 +200,34 @@ def test_decontamination_finds_planted_passages(spark, docs, odd):
     assert decontaminate.matches(docs(rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_quotations_that_are_cut(spark, docs):
+    rng = random.Random(8)
+    many = [f"w{k}x" for k in range(400)]
+    items = [(k, prose(rng, rng.randint(15, 60), many).lower().split()) for k in range(40)]
+
+    def shingles(w):
+        return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    def similarity(a, b):
+        weight = lambda x: sum(map(len, x))
+        return weight(shingles(a) & shingles(b)) / weight(shingles(a) | shingles(b))
+
+    rows, want = [], set()
+    for k, words in items:
+        for r in range(30):
+            foreign, m, best = rng.choices(many, k=len(words)), len(words), words
+            for n in range(m - 1, 0, -1):
+                cut = words[:n] + foreign[n:] if r % 2 else foreign[: m - n] + words[m - n :]
+                if similarity(words, cut) < 0.75:
+                    break
+                best = cut
+            rows.append((1000 * k + r, " ".join(best)))
+            want.add((1000 * k + r, k))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs(rows), bench).collect()}
+    assert want <= got
+
+
 def test_a_short_item_matches_a_whole_short_text(spark, docs):
     bench = spark.createDataFrame([(92, "tiny item")], "item_id long, text string")
     assert [(r.doc_id, r.item_id) for r in decontaminate.matches(docs([(1, "Tiny, item!"), (2, "tiny items")]), bench).collect()] == [(1, 92)]
