@@ -67,7 +67,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start, n_words, hamming, similarity: the best window of each document for each item it repeats.
 
     start counts the document's words from 0; of equally similar windows the first is given. Documents and items with
-    null ids, and those without words, match nothing. Rows that repeat an id are taken together. Other columns are
+    null ids, and those without words, match nothing. Out of scope: an item of fewer than SHINGLE words within a longer
+    document; it matches only a document of just these words. Rows that repeat an id are taken together. Other columns are
     ignored. Empty tables give no rows.
     """
     ready(docs.sparkSession)
