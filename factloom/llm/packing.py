@@ -159,11 +159,12 @@ def best_fit(histogram: dict[int, int], limit: int) -> list[tuple[tuple[int, ...
 
 
 def local_search(patterns: list[tuple[tuple[int, ...], int]], limit: int, width: int = 48, steps: int = 4000) -> list[tuple[tuple[int, ...], int]]:
-    """Swap-based local search between underfull bins until none empties any more.
+    """Swap-based local search between underfull bins, until none empties any more or `steps` trials are done.
 
     The emptiest bin gives: it moves a document to another underfull bin, or exchanges one for one or two for one,
     whenever the other bin ends fuller, so that the squared fill of the two grows. A bin that empties is dropped.
-    Each step looks at `width` partners in order of room; both bounds are on the driver's work, not on documents:
+    Each bin is tried with at most `width` partners in order of room, one copy of a pattern at a time, so at most `steps`
+    exchanges are tried however many bins there are; both bounds are on the driver's work, not on documents:
     a bin that is not improved stays as it is.
     """
     full = Counter({p: n for p, n in patterns if sum(p) >= limit})
