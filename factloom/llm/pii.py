@@ -37,6 +37,10 @@ FEATURES = 1 << 14
 SKIP, ROUNDS, BELIEF = 1.5, 12, 0.9
 _TOKEN = re.compile(r"\S*[0-9@]\S*")
 _DIGIT = re.compile(r"[0-9]")
+_CANDIDATE = re.compile(r"[0-9@]")
+#: Longer tokens, in runs without white space, are split at what is no part of an entity.
+LONG = 400
+_PIECE = re.compile(r"[^\s,;:!?(){}\[\]<>\"'|*&$#=¡¿/\\]+")
 _EDGE = ".,;:!?()[]{}<>\"'|*&%$#=¡¿"
 
 
@@ -76,17 +80,32 @@ def _shape(token: str) -> str:
 
 
 def tokens(text: str) -> list[tuple[int, int, str, bool]]:
-    """(start, end, token, whether it goes on the chain of the one before) of the candidate tokens, edges trimmed."""
+    """(start, end, token, whether it goes on the chain of the one before) of the candidate tokens, edges trimmed.
+
+    A token of more than LONG characters gives its pieces between punctuation instead, each on a chain of its own but for
+    the first and last at its ends; a piece without punctuation stays whole, however long.
+    """
     out, before = [], -9
     for m in _TOKEN.finditer(text):
         t = m[0]
         core = t.strip(_EDGE)
-        if not core or len(core) > 400:
+        if not core:
             before = -9
             continue
         start = m.start() + (len(t) - len(t.lstrip(_EDGE)))
-        out.append((start, start + len(core), core, before >= 0 and m.start() - before <= 2 and not text[before : m.start()].strip()))
-        before = m.end()
+        joined = before >= 0 and m.start() - before <= 2 and not text[before : m.start()].strip()
+        if len(core) <= LONG:
+            out.append((start, start + len(core), core, joined))
+            before = m.end()
+            continue
+        end = -1
+        for p in _PIECE.finditer(core):
+            piece = p[0].strip(_EDGE)
+            if piece and _CANDIDATE.search(piece):
+                at = p.start() + (len(p[0]) - len(p[0].lstrip(_EDGE)))
+                end = at + len(piece)
+                out.append((start + at, start + end, piece, joined and at == 0))
+        before = m.end() if end == len(core) else -9
     return out
 
 

@@ -270,6 +270,16 @@ def test_personal_data_keeps_all_base_spans(docs, odd):
     assert pii.detect(docs([])).count() == 0
 
 
+def test_long_runs_without_white_space_are_split():
+    run = "{" + ",".join(f'"k{k}":"user{k}@mail.example.com","n":{k}' for k in range(40)) + "}"
+    assert len(run) > 400 and " " not in run
+    for text in (run, f"call 12 {run} 34 now", "9" * 500):
+        toks = pii.tokens(text)
+        assert toks and all(text[s:e] == t for s, e, t, _ in toks)
+        assert [t for *_, t, _ in toks if "@" in t] == ([f"user{k}@mail.example.com" for k in range(40)] if "@" in text else [])
+    assert pii.tokens("9" * 500) == [(0, 500, "9" * 500, False)]
+
+
 def test_skip_edges_make_repeats_agree():
     scores = np.array([[0.0, 3.0], [0.0, -0.5], [0.5, 0.0]])  # the second token repeats the first
     alone = pii.beliefs(scores, np.zeros((0, 2), int), np.zeros((0, 2), int), np.zeros((2, 2)))
