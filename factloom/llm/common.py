@@ -1,42 +1,35 @@
-"""Shared plumbing: shared-folder tables, bounded id bitmaps, connected components."""
+"""Shared plumbing: shared-folder tables, id bitmaps sized by count, joins with hot keys, connected components."""
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-from pathlib import Path
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
-#: Size of the id bitmaps in bits: 1 MB, whatever the input.
-BITMAP_BITS = 1 << 23
-#: Rows that a Python worker gets at once, where the session has Spark's default: documents can be long.
-BATCH_ROWS = 1000
+from factloom import session
+from factloom.session import shared_dir, small
 
+__all__ = ["bit_of", "bitmap", "components", "few_ids", "has_bit", "hot_join", "ready", "roots", "shared_dir", "small", "table", "written"]
+#: Bits of an id bitmap: sixteen for each id, between these bounds (1 and 16 MB).
+LEAST_BITS, MOST_BITS = 1 << 23, 1 << 27
+#: Ids that a bitmap is made for at most; with more, exact semi-joins take its place.
+MOST_IDS = 1 << 25
+#: Rows of a key from which it is dealt out, at least; and the share of all rows, so that hot keys are 1000 at most.
+HOT_ROWS, HOT_SHARE = 250, 1000
+#: Edges that one task replaces by stars, some 100 MB.
+LOCAL_EDGES = 1 << 20
 
-def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, bound their batches, and make sure that a checkpoint folder is set.
 
-    The folder comes from ``spark.checkpoint.dir``; a folder of our own is set only where that is unset.
-    """
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH")) if x)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    if not shared_dir(spark):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
+def ready(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package, bound their batches, and make sure that a checkpoint folder is set."""
+    shared_dir(session.ready(spark))
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str | None:
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df from a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -49,48 +42,104 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bit_of(col) -> F.Column:
-    """Place of an id in a bitmap."""
-    return F.pmod(F.xxhash64(col), F.lit(BITMAP_BITS))
+def few_ids(ids: DataFrame) -> bool:
+    """Whether a bitmap is made for these ids; else they take part in exact semi-joins."""
+    return ids.limit(MOST_IDS + 1).count() <= MOST_IDS
+
+
+def bit_of(col, words: np.ndarray) -> F.Column:
+    """Place of an id in a bitmap of bitmap()."""
+    return F.pmod(F.xxhash64(col), F.lit(32 * len(words)))
 
 
 def bitmap(ids: DataFrame, col: str) -> np.ndarray:
-    """One bit for each hashed id, at most BITMAP_BITS / 8 bytes on the driver however many ids there are.
+    """One bit for each hashed id in 32-bit words, MOST_BITS / 8 bytes at most on the driver however many ids there are.
 
     A filter that may let other ids pass, never one that loses an id; exact joins follow it.
     """
-    rows = ids.select(bit_of(F.col(col)).alias("p")).groupBy(F.expr("shiftright(p, 5)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 31 as int)))").alias("b")).collect()
-    out = np.zeros(BITMAP_BITS // 32, np.uint32)
-    for w, b in rows:
-        out[w] = b
+    bits = min(max(1 << (16 * ids.count()).bit_length(), LEAST_BITS), MOST_BITS)
+    rows = ids.select(F.pmod(F.xxhash64(col), F.lit(bits)).alias("p")).groupBy(F.expr("cast(shiftright(p, 5) as int)").alias("w")).agg(F.expr("cast(bit_or(shiftleft(1L, cast(p & 31 as int))) as long)").alias("b")).toArrow()
+    out = np.zeros(bits // 32, np.uint32)
+    out[rows.column("w").to_numpy()] = rows.column("b").to_numpy().astype(np.uint32)
     return out
 
 
-def has_bit(bits: np.ndarray, p: np.ndarray) -> np.ndarray:
-    return (bits[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1
+def has_bit(words: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return (words[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, by: str, rows: int, how: str = "inner") -> DataFrame:
+    """left joined with right, which has a row for each key; left's hot keys are dealt out by the column `by`.
+
+    rows: of left, about. Hot keys are those with more than HOT_ROWS rows of left and 1 / HOT_SHARE of all, so some
+    HOT_SHARE of them are broadcast; right's rows for them are repeated once for so many rows of left.
+    """
+    most = max(HOT_ROWS, rows // HOT_SHARE)
+    if rows <= most:
+        return left.join(right, key, how)
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = F.broadcast(counts.where(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).alias("_salts")))
+    one = F.lit(1).cast("long")
+    dealt = left.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), F.coalesce("_salts", one))).drop("_salts")
+    copies = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", one) - 1))).drop("_salts")
+    return dealt.join(copies, [key, "_salt"], how).drop("_salt")
+
+
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest of the numbers 0 to n - 1 that each can reach by the pairs (i, j)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v): each node of a task's edges with the smallest node that these edges reach from it."""
+    parts = [np.stack([b.column(k).to_numpy() for k in (0, 1)]) for b in batches if b.num_rows]
+    if parts:
+        edges = np.concatenate(parts, 1)
+        del parts
+        nodes, at = np.unique(edges, return_inverse=True)
+        i, j = at.reshape(2, -1)
+        found = nodes[roots(len(nodes), i, j)]
+        for k in range(0, len(nodes), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[k : k + 50_000]), pa.array(found[k : k + 50_000])], names=["u", "v"])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of the edges; component is the smallest node reachable.
 
-    Alternating large-star and small-star steps: each keeps the reachability, all end as stars around the
-    smallest nodes in O(log^2 n) rounds. Self edges, nulls and repeated edges are allowed; a node that has only
-    self edges is its own component. No edges give no rows.
+    First each task replaces LOCAL_EDGES edges, whichever they are, by stars around the smallest nodes; where one task
+    has them all, that is the answer. Else alternating large-star and small-star steps follow: each keeps the
+    reachability, all end as stars around the smallest nodes in O(log^2 n) rounds, and the edges of a hub are dealt out
+    over several tasks. Nodes are longs; self edges, nulls and repeated edges are allowed; a node that has only self edges
+    is its own component. No edges give no rows. The edges are read twice.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct().checkpoint()
-    nodes = e
+    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
+    tasks = -(-e.count() // LOCAL_EDGES) or 1
+    nodes = e = written(e.repartition(tasks).mapInArrow(_forest, "u long, v long"), "forest")
+    if tasks == 1:
+        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    e, size = e.where("u <> v").distinct(), 2 * e.count()
     while True:
         # large star: larger neighbours of u move to the smallest neighbour of u
-        both = e.where("u <> v").select("u", "v").unionAll(e.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = hot_join(both.where("v > u"), low, "u", "v", size).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: smaller neighbours of u, and u, move to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("x"), F.col("m")), F.struct(F.col("u").alias("x"), F.col("m")))).alias("s")).select(F.col("s.x").alias("u"), F.col("s.m").alias("v")).where("u <> v").distinct().checkpoint()
-        size, depth = small.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
-        e = small
-        if size == depth and not small.alias("x").join(small.alias("y"), F.col("x.v") == F.col("y.u"), "left_semi").take(1):
+        e = hot_join(large, least, "u", "v", size).select(F.explode(F.array(F.struct(F.col("v").alias("x"), F.col("m")), F.struct(F.col("u").alias("x"), F.col("m")))).alias("s")).select(F.col("s.x").alias("u"), F.col("s.m").alias("v")).where("u <> v").distinct().checkpoint()
+        size, depth = e.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
+        if size == depth and not e.select(F.col("v").alias("u")).distinct().join(e.select("u"), "u", "left_semi").take(1):
             break
     flat = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = nodes.select(F.col("u").alias("node")).unionAll(nodes.select("v")).distinct()
-    return roots.join(flat, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    every = nodes.select(F.col("u").alias("node")).distinct()
+    return every.join(flat, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bit_of, bitmap, components, has_bit, ready, table, written
+from factloom.llm.common import bit_of, bitmap, components, few_ids, has_bit, ready, table, written
 
 WORDS = 5
 PERCENT = 75
@@ -30,13 +30,15 @@ FREQUENT = 1 << 19
 LOCAL_COUNT, TOTAL_COUNT = 3, 5
 #: Share of the hash space in which every token is counted: prefixes take theirs from there unless most tokens are frequent.
 COUNTED = 0.3
-#: Tokens that a task holds before it flushes its counts or pairs.
-FLUSH = 1_000_000
+#: Tokens that a task holds before it flushes its counts; rows of sorted tokens or pairs that it holds at once.
+FLUSH, PART = 1_000_000, 1 << 17
+#: Bytes whose words are hashed at once; a longer word is hashed by itself.
+SPAN = 1 << 20
 #: Members that each member of a larger group meets at first.
 PIVOTS = 8
 #: Tokens by which a member of a larger group tells where else it meets another.
 TOKENS = 16
-#: Members of a block of a larger group.
+#: Members of a block of a larger group that is still in several components.
 BLOCK = 256
 #: Up to this size all pairs of a prefix group are candidates at once.
 SMALL_GROUP = 4
@@ -58,16 +60,18 @@ _BYTE = mix(np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], _U),
 
 
 @cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base and of its inverse for SPAN places: 16 MB for each worker, however long the texts are."""
     with np.errstate(over="ignore"):
-        return tuple(np.cumprod(np.r_[_U(1), np.full(n, x, _U)]) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+        return tuple(np.cumprod(np.r_[_U(1), np.full(SPAN, x, _U)]) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of many texts, and how many words each text has.
 
     data: UTF-8 bytes; offsets: where each text begins, and the end. Words stand between ASCII white spaces and text
-    ends; their hash is that of a polynomial over their bytes, taken from running sums over all bytes.
+    ends; their hash is that of a polynomial over their bytes, taken from running sums over SPAN bytes at most; a word
+    of more bytes has a hash of its own kind.
     """
     space = _SPACE[data]
     head, tail = ~space, ~space
@@ -77,11 +81,22 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     head &= open_
     tail &= close
     head, tail = np.flatnonzero(head), np.flatnonzero(tail)
-    with np.errstate(over="ignore"):
-        up, down = _powers(max(1 << 20, 1 << int(len(data)).bit_length()))
-        run = np.cumsum(_BYTE[data] * up[: len(data)])
-        h = run[tail] - np.where(head > 0, run[head - 1], _U(0))
-        h = mix(h * down[head] + (tail - head).astype(_U))
+    h = np.empty(len(head), _U)
+    up, down = _powers()
+    at = 0
+    while at < len(head):
+        begin = int(head[at])
+        upto = int(np.searchsorted(tail, begin + SPAN))
+        if upto > at:
+            i, j = head[at:upto] - begin, tail[at:upto] - begin
+            with np.errstate(over="ignore"):
+                run = np.cumsum(_BYTE[data[begin : begin + int(j[-1]) + 1]] * up[: int(j[-1]) + 1])
+                x = run[j] - np.where(i > 0, run[i - 1], _U(0))
+                h[at:upto] = mix(x * down[i] + (j - i).astype(_U))
+        else:
+            upto = at + 1
+            h[at] = xxhash.xxh3_64_intdigest(data[begin : int(tail[at]) + 1].tobytes().lower())
+        at = upto
     return h, np.diff(np.searchsorted(head, offsets))
 
 
@@ -218,21 +233,26 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs from rows sorted by token and n.
 
     token null: a pair (a, b) that shares a prefix token and fits by size, each once for a flush. token not null: a
-    member a of a large group, whose first pivot is b; only its pairs with the pivots are among the pairs. Pivots are the members with the
+    member a of a large group; only its pairs with the pivots are among the pairs. Pivots are the members with the
     smallest hashes, so that groups with the same members have the same pivots, and the smallest sets, which are the
-    most like all others where the members share a core.
+    most like all others where the members share a core. A group of more rows than are held at once goes on in the
+    next rows: all of them, however few, are members of the large group and meet the pivots of its first rows.
     """
     schema = pa.schema([("token", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32())])
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
+    open_token, open_pivots = None, []  # the group that goes on, and (id, n) of its pivots
 
-    def flush() -> pa.RecordBatch:
-        a, b = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-        a, b = a[new], b[new]
-        return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32())], schema=schema)
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal pairs, size
+        if pairs:
+            a, b = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+            pairs, size = [], 0
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+            a, b = a[new], b[new]
+            yield from _sliced(pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32())], schema=schema))
 
     def keep(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> None:
         nonlocal size
@@ -242,18 +262,25 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs.append((np.minimum(x, y), np.maximum(x, y)))
             size += len(x)
 
-    def groups(t: np.ndarray, d: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        nonlocal pairs, size
+    def groups(t: np.ndarray, d: np.ndarray, n: np.ndarray, goes_on: bool) -> Iterator[pa.RecordBatch]:
+        """goes_on: rows of the last token may follow in the next call, so that it is a large group whatever its size."""
+        nonlocal open_token, open_pivots
         edge = np.flatnonzero(np.diff(t)) + 1
         start, stop = np.r_[0, edge], np.r_[edge, len(t)]
         count = stop - start
-        big = np.repeat(count > SMALL_GROUP, count)
+        is_large = count > SMALL_GROUP
+        carried = open_token is not None and t[0] == open_token
+        is_large[0] |= carried
+        is_large[-1] |= goes_on
+        large = np.repeat(is_large, count)
         for k in range(1, SMALL_GROUP):
-            at = np.flatnonzero((t[k:] == t[:-k]) & ~big[k:])
+            at = np.flatnonzero((t[k:] == t[:-k]) & ~large[k:])
             keep(d[at], d[at + k], n[at], n[at + k])
-        at = np.flatnonzero(big)
+        at = np.flatnonzero(large)
+        held = open_pivots if carried else []
+        open_token, open_pivots = (t[-1], []) if goes_on else (None, [])
         if len(at):
-            many = np.flatnonzero(count > SMALL_GROUP)
+            many = np.flatnonzero(is_large)
             group = np.repeat(np.arange(len(many)), count[many])
             for r in range(PIVOTS):
                 h = mix(d[at].view(_U), 1000 + r)
@@ -263,31 +290,38 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pivot = np.zeros(len(many), np.int64)
                 hit = np.flatnonzero(h == low[group])
                 pivot[group[hit]] = at[hit]
-                keep(d[pivot[group]], d[at], n[pivot[group]], n[at])
-                if not r:
-                    first = d[pivot[group]]
-            yield pa.RecordBatch.from_arrays([pa.array(t[at]), pa.array(d[at]), pa.array(first), pa.array(n[at])], schema=schema)
+                pid, pn = d[pivot], n[pivot]
+                if carried:
+                    pid[0], pn[0] = held[r]
+                if goes_on:
+                    open_pivots.append((pid[-1], pn[-1]))
+                keep(pid[group], d[at], pn[group], n[at])
+                if size >= FLUSH // 2:
+                    yield from flush()
+            yield from _sliced(pa.RecordBatch.from_arrays([pa.array(t[at]), pa.array(d[at]), pa.nulls(len(at), pa.int64()), pa.array(n[at])], schema=schema))
         if size >= FLUSH // 2:
-            yield from _sliced(flush())
-            pairs, size = [], 0
+            yield from flush()
+
+    held: list[list[np.ndarray]] = []
+    rows = 0
+
+    def joined() -> list[np.ndarray]:
+        return [np.concatenate([h[k] for h in held]) for k in range(3)]
 
-    left: list[np.ndarray] | None = None
     for batch in batches:
-        cols = [batch.column(c).to_numpy() for c in ("token", "doc_id", "n")]
-        if left is not None:
-            cols = [np.concatenate(x) for x in zip(left, cols, strict=True)]
-        if not len(cols[0]):
+        held.append([batch.column(c).to_numpy() for c in ("token", "doc_id", "n")])
+        rows += batch.num_rows
+        if rows < PART:
             continue
-        # the last token's rows may go on in the next batch; a group beyond FLUSH rows is dealt with in parts
-        last = int(np.searchsorted(cols[0], cols[0][-1]))
-        last = len(cols[0]) if len(cols[0]) - last > FLUSH else last
-        if last:
-            yield from groups(*(c[:last] for c in cols))
-        left = [c[last:] for c in cols]
-    if left is not None and len(left[0]):
-        yield from groups(*left)
-    if pairs:
-        yield from _sliced(flush())
+        cols = joined()
+        last = int(np.searchsorted(cols[0], cols[0][-1]))  # rows of the last token may follow in the next batch
+        goes_on = not last
+        last = last or rows
+        yield from groups(*(c[:last] for c in cols), goes_on)
+        held, rows = [[c[last:].copy() for c in cols]], rows - last
+    if rows:
+        yield from groups(*joined(), False)
+    yield from flush()
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], frequent, bits) -> Iterator[pa.RecordBatch]:
@@ -407,31 +441,41 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from solve(held)
 
 
-def _sketched(docs: DataFrame, ids: DataFrame, frequent) -> DataFrame:
-    """id, n, p, q, marks of the documents, and some others by chance of the bitmap."""
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(ids, "id"))
-    return docs.withColumn("bit", bit_of(F.col("doc_id"))).mapInArrow(lambda it: _sketches(it, frequent, bits), "id long, n long, p array<int>, q array<int>, marks binary")
+def _candidates(docs: DataFrame, ids: DataFrame):
+    """docs with the place of each doc_id in a bitmap of the ids, and the broadcast bitmap; other documents are to be skipped.
+
+    With too many ids for a bitmap the documents are semi-joined with them instead, and the bitmap lets all pass.
+    """
+    if few_ids(ids):
+        words = bitmap(ids, "id")
+    else:
+        docs, words = docs.join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), np.full(1, 0xFFFFFFFF, np.uint32)
+    return docs.withColumn("bit", bit_of(F.col("doc_id"), words)), docs.sparkSession.sparkContext.broadcast(words)
 
 
 def _ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b"))
 
 
+SKETCH = "id long, n long, p array<int>, q array<int>, marks binary"
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, frequent, name: str) -> DataFrame:
     """(a, b, shared, sizes) of the pairs that the filters leave: of whole sets, shared tokens and the sum of sizes."""
-    sc = docs.sparkSession.sparkContext
-    keyed = docs.withColumn("bit", bit_of(F.col("doc_id")))
 
     def both(pairs: DataFrame, rows: DataFrame) -> DataFrame:
         for c in "ab":
             pairs = pairs.join(rows.select(F.col("id").alias(c), *(F.col(x).alias(f"{x[0]}{c}") for x in rows.columns if x != "id")), c)
         return pairs
 
-    left = written(both(pairs, _sketched(docs, _ids(pairs), frequent)).mapInArrow(_may_link, "a long, b long"), f"{name}-left")
-    few = sc.broadcast(bitmap(_ids(left), "id"))
-    whole = keyed.mapInArrow(lambda it: _whole(it, few), "id long, s array<long>")
-    found = both(left, whole).select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"), (F.size("sa") + F.size("sb")).cast("long").alias("sizes"))
-    return written(found, name)
+    keyed, bits = _candidates(docs, _ids(pairs))
+    left = written(both(pairs, keyed.mapInArrow(lambda it: _sketches(it, frequent, bits), SKETCH)).mapInArrow(_may_link, "a long, b long"), f"{name}-left")
+    bits.unpersist()
+    keyed, few = _candidates(docs, _ids(left))
+    found = both(left, keyed.mapInArrow(lambda it: _whole(it, few), "id long, s array<long>")).select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"), (F.size("sa") + F.size("sb")).cast("long").alias("sizes"))
+    found = written(found, name)
+    few.unpersist()
+    return found
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
@@ -444,14 +488,16 @@ def join_documents(docs: DataFrame) -> DataFrame:
     spark = ready(docs.sparkSession)
     sc = spark.sparkContext
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    counted = docs.mapInArrow(_survey, SURVEY).groupBy("doc_id", "n", "digest", "token").agg(F.sum("cnt").alias("cnt"))
+    surveyed = docs.mapInArrow(_survey, SURVEY)
+    rows_of = F.when(F.col("token").isNull(), F.monotonically_increasing_id())  # a document's row stays one; tokens are summed
+    counted = surveyed.withColumn("row", rows_of).groupBy("doc_id", "n", "digest", "token", "row").agg(F.sum("cnt").alias("cnt"))
     survey = written(counted.where(F.col("token").isNull() | (F.col("cnt") >= TOTAL_COUNT)), "survey")
     top = survey.where("token is not null").orderBy(F.desc("cnt"), "token").limit(FREQUENT)
     top = top.select("token", F.floor(F.log2("cnt") * 2).cast("int").alias("level")).toPandas()
     token = top["token"].to_numpy().view(_U)
     by = np.argsort(token)
     frequent = sc.broadcast((token[by], np.minimum(top["level"].to_numpy()[by], 62).astype(_U)))
-    rows = survey.where("token is null").select("doc_id", "n", "digest", F.explode(F.sequence(F.lit(1), "cnt"))).drop("col")
+    rows = survey.where("token is null").select("doc_id", "n", "digest")
     reps = rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     named = written(rows.join(reps, "digest", "left").select("doc_id", "n", "rep"), "named")
 
@@ -472,21 +518,36 @@ def join_documents(docs: DataFrame) -> DataFrame:
     links = tested.where(enough).select("a", "b")
     comp = written(components(links), "components")
 
-    # members of large groups that are still in different components meet in blocks of their groups
+    # Members of large groups that are still in different components meet in blocks of their groups. The members of a
+    # group's largest component meet only those of the others, so that a group that is nearly one component, however
+    # large, gives rows in proportion to its size times the others' blocks.
     rest = big.select("token", F.col("a").alias("doc_id")).join(rep_of, "doc_id").select("token", F.col("rep").alias("a")).distinct()
     rest = rest.join(comp, F.col("a") == F.col("node"), "left").select("token", "a", F.coalesce("component", "a").alias("c"))
-    mixed = rest.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 <> c1").select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("cuts"))
+    sizes = rest.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("size"))
+    cuts = lambda k: F.ceil(k / BLOCK).cast("int")
+    mixed = sizes.where("size > most").select("token", "main", cuts(F.col("most")).alias("mains"), cuts(F.col("size") - F.col("most")).alias("others"))
     rest = written(rest.join(mixed, "token"), "rest")
     if rest.take(1):
-        sketches = _sketched(docs, rest.select(F.col("a").alias("id")), frequent).select(F.col("id").alias("a"), F.col("n").cast("long"), "marks")
+        keyed, bits = _candidates(docs, rest.select(F.col("a").alias("id")))
+        sketches = keyed.mapInArrow(lambda it: _sketches(it, frequent, bits), SKETCH).select(F.col("id").alias("a"), "n", "marks")
         own = F.collect_list("token").over(Window.partitionBy("a"))  # at most a document's prefix
         named_all = rest.withColumn("tokens", F.slice(F.sort_array(own), 1, TOKENS))
-        placed = named_all.join(sketches, "a").withColumn("cut", F.pmod(F.xxhash64("a"), F.col("cuts"))).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-        placed = placed.select("token", F.least("cut", "with").alias("lo"), F.greatest("cut", "with").alias("hi"), (F.col("cut") > F.col("with")).cast("int").alias("side"), "a", "n", "c", "marks", "tokens")
+        is_main = F.col("c") == F.col("main")
+        placed = named_all.join(sketches, "a").withColumn("cut", F.pmod(F.xxhash64("a"), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int"))
+        # (lo, hi): blocks of others, the lower one first, or -1 - k for block k of the largest component and a block of others
+        span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        with_main = lambda lo, hi, side: F.struct((-1 - lo).alias("lo"), hi.alias("hi"), F.lit(side).alias("side"))
+        cut = F.col("cut")
+        meets = F.when(is_main, F.transform(span("others"), lambda k: with_main(cut, k, 0))).otherwise(
+            F.concat(F.transform(span("mains"), lambda k: with_main(k, cut, 1)), F.transform(span("others"), lambda k: F.struct(F.least(cut, k).alias("lo"), F.greatest(cut, k).alias("hi"), (cut > k).cast("int").alias("side"))))
+        )
+        placed = placed.withColumn("at", F.explode(meets)).select("token", "at.lo", "at.hi", "at.side", "a", "n", "c", "marks", "tokens")
         near = placed.repartition(parts, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_near, "a long, b long")
         more = written(near.distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+        bits.unpersist()
         extra = _verified(more, docs, frequent, "extra").where(enough).select("a", "b")
         comp = written(components(links.unionAll(extra)), "components")
+    frequent.unpersist()
     return named.join(comp, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 

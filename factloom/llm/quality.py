@@ -106,11 +106,20 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
 
 
 def model_for(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
+    """The line model from at most per_label documents of each label, never held-out ones.
+
+    Null ids, labels and texts and repeated rows are passed over as in training.sample(). With labels of one class all
+    scores are near that class; without any, 0.5.
+    """
     return train(sample(docs, labels.select("doc_id", "quality"), "quality", per_label))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score (0 to 1, higher: better) for every row of docs; null and empty texts are one empty line."""
+    """doc_id, held_out, score (0 to 1, higher: better) for every row of docs; null and empty texts are one empty line.
+
+    Null ids are not held out; null or repeated ids give a row each. Other columns, whatever their names, are ignored. An
+    empty table gives no rows.
+    """
     spark = ready(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
@@ -118,7 +127,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, whose score reaches the threshold."""
+    """The rows of docs, with all their columns, whose score reaches the threshold; null texts are one empty line.
+
+    Null and repeated ids are judged row by row; the columns may have any names; an empty table gives no rows.
+    """
     spark = ready(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bit_of, bitmap, has_bit, ready, shared_dir, table
+from factloom.llm.common import bit_of, bitmap, has_bit, hot_join, ready, shared_dir, table, written
 
 CACHE = "tokenizer string, digest binary, n_bytes long, n_tokens long"
 LIMIT = 4096
@@ -72,8 +72,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_dir: str, id_col: str =
     The content is normalised only by null -> empty (any other change could change a count) and known by its
     SHA-256. Contents without a row in the cache are encoded once: those that stand in one row are encoded where
     they are read, without a shuffle; those in several rows (and rows that the bitmap can't tell from them) go
-    through an exact distinct. Empty texts have 0 tokens. Null or repeated ids give a row each. Other columns of
-    docs are ignored. An empty table gives no rows.
+    through an exact distinct. Empty texts have 0 tokens. Null or repeated ids give a row each; a digest that the
+    cache holds twice, as after a repeated append, counts once. Other columns of docs are ignored. An empty table gives no rows.
     """
     spark = ready(docs.sparkSession)
     sc = spark.sparkContext
@@ -81,11 +81,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_dir: str, id_col: str =
     spark.createDataFrame([], CACHE).write.mode("append").parquet(cache_dir)  # the folder exists from here on
     cache = spark.read.schema(CACHE).parquet(cache_dir).where(F.col("tokenizer") == version).select("digest", "n_bytes", "n_tokens")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    known = rows.select("id", "digest")
+    known = written(rows.select("id", "digest"), "digests")
     held = known.select("digest").join(cache.select("digest"), "digest", "left_semi") if cache.take(1) else None
     many = known.groupBy("digest").count().where("count > 1").select("digest")
-    skip = sc.broadcast(bitmap(many if held is None else many.unionAll(held), "digest"))
-    keyed = rows.select("digest", "text", bit_of(F.col("digest")).alias("bit"))
+    words = bitmap(many if held is None else many.unionAll(held), "digest")
+    skip = sc.broadcast(words)
+    keyed = rows.select("digest", "text", bit_of(F.col("digest"), words).alias("bit"))
     schema = "digest binary, n_bytes long, n_tokens long"
     alone = keyed.mapInArrow(lambda it: _encode(it, tokenizer, skip), schema)
 
@@ -98,7 +99,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_dir: str, id_col: str =
     again = again.join(cache.select("digest"), "digest", "left_anti").mapInArrow(lambda it: _encode(it, tokenizer, None), schema)
     alone.unionAll(again).select(F.lit(version).alias("tokenizer"), "digest", "n_bytes", "n_tokens").write.mode("append").parquet(cache_dir)
     cache = spark.read.schema(CACHE).parquet(cache_dir).where(F.col("tokenizer") == version).select("digest", "n_bytes", "n_tokens")
-    return known.join(cache, "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
+    skip.unpersist()
+    return hot_join(known, cache.dropDuplicates(["digest"]), "digest", "id", known.count()).select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
