@@ -1,11 +1,11 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages of a host are sorted by URL path, and each is paired with the nearer of the pages before and behind it that are no
-copies: copies, side by side with equal unmarked lines, tell nothing about what the site repeats. The page's unmarked
-lines and those of the other are aligned by their longest common subsequence and shared lines are deleted: menus, notices and footers that a
-site repeats. That decides for all lines without marks, also beside an article or main element. Lines inside such an
-element are kept even if shared, as copies and quoted passages share them too, and lines of elements that are marked as
-menus, adverts, forms or comments go even if not shared.
+Pages of a host are sorted by URL path, and each is compared with its near pages: the NEAR groups before and behind it,
+a group being pages side by side with equal unmarked lines, as copies tell nothing about what the site repeats. The
+page's unmarked lines and those of a near page are aligned by their longest common subsequence; an alignment is a vote to
+delete the lines that are shared: menus, notices and footers that a site repeats. Outside article and main elements half of
+the votes delete a line; inside them all of 2 * NEAR votes are needed, as articles quote each other. Lines of elements that
+are marked as menus, adverts, forms or comments go even if not shared, as these differ from page to page.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import ready, table, written
+from factloom.llm.common import ready, small, table, written
 
 #: Elements by their part in a page.
 RAW = frozenset("script style noscript template iframe svg math textarea select option button object head title".split())
@@ -34,7 +34,7 @@ SPACED = frozenset("br td th wbr option".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+(?=>|\Z)|[^>]*)(?:>|\Z)|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: What a line is: of the main region, of a marked element, or of neither.
 MAIN, MARK, OTHER = 0, 1, 2
@@ -135,14 +135,23 @@ def common(a: list, b: list) -> list[int]:
     return [*range(head), *reversed(middle), *range(len(a) - tail, len(a))]
 
 
-def main_text(page: list[tuple[str, int]], shared: set[int]) -> str:
-    """The lines that stay: those of the main region, and those that are neither marked nor shared."""
-    return "\n".join(text for k, (text, kind) in enumerate(page) if kind == MAIN or kind == OTHER and k not in shared)
+#: Groups of pages on either side that a page is compared with.
+NEAR = 2
 
 
-def _hash(text: str) -> int:
-    """32 bits are enough to align the lines of two pages, and half the bytes to move."""
-    return xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 31)
+def main_text(page: list[tuple[str, int]], deleted: set[int]) -> str:
+    """The lines that are neither deleted nor marked; deleted: places among the unmarked lines."""
+    return "\n".join(text for k, (text, _) in enumerate(_needed(page)) if k not in deleted)
+
+
+def _hash(text: str, kind: int) -> int:
+    """63 bits of a line's hash, and in the lowest bit whether it is of the main region."""
+    return (xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) & ~1 | (kind == MAIN)) - (1 << 63)
+
+
+def _needed(page: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """The lines that main_text() can keep: those that are not marked."""
+    return [x for x in page if x[1] != MARK]
 
 
 def _digest(page: list[tuple[str, int]]) -> int:
@@ -162,8 +171,8 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         where = [_address(u) for u in batch.column("url").to_pylist()]
         pages = [lines(p) for p in batch.column("html").to_pylist()]
-        found, digests = [[_hash(t) for t, _ in p] for p in pages], [_digest(p) for p in pages]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([h for h, _ in where]), pa.array([p for _, p in where]), pa.array(found, pa.list_(pa.int32())), pa.array(digests, pa.int64())], names=["key", "host", "path", "lines", "digest"])
+        found, digests = [[_hash(t, kind) for t, kind in _needed(p)] for p in pages], [_digest(p) for p in pages]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([h for h, _ in where]), pa.array([p for _, p in where]), pa.array(found, pa.list_(pa.int64())), pa.array(digests, pa.int64())], names=["key", "host", "path", "lines", "digest"])
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,16 +209,16 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 TOGETHER = 1000
 
 
-def neighbours(rows: DataFrame) -> DataFrame:
-    """(key, other): the lines of the nearer of the pages before and behind on the host that are no copies, by URL path.
+def near_pages(rows: DataFrame) -> DataFrame:
+    """(key, lines, other): each page's lines with those of a page of each group near it on its host, by URL path.
 
     rows: key, host, path, lines, digest. A global order by host and path gives a number to every group of copies, most
-    often a single page; pages meet the last page of the group before and the first of the group behind by an equi-join,
-    so that no host stands in one task.
+    often a single page; pages meet the last page of each of the NEAR groups before and the first of each behind by an
+    equi-join, so that no host stands in one task.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "host", "path", "key").sortWithinPartitions("host", "path", "key")
-    numbered = written(ordered.mapInArrow(_numbered, "key long, host string, path string, lines array<int>, digest long, part long, at long, run long, first boolean, last boolean"), "url-order")
+    numbered = written(ordered.mapInArrow(_numbered, "key long, host string, path string, lines array<long>, digest long, part long, at long, run long, first boolean, last boolean"), "url-order")
     # a row for each partition; its first group may go on with the last one of the partition before
     page, order = F.struct("host", "digest"), Window.orderBy("part")
     size = numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n"), (F.max("run") + 1).alias("runs"), F.min_by(page, "at").alias("head"), F.max_by(page, "at").alias("tail"))
@@ -223,50 +232,52 @@ def neighbours(rows: DataFrame) -> DataFrame:
     long = placed.groupBy("run").agg(F.min("no").alias("low"), F.max("no").alias("high")).where(F.col("high") - F.col("low") >= TOGETHER)
     long = F.broadcast(written(long.select("run", F.expr(f"low div {TOGETHER}").alias("low"), F.expr(f"high div {TOGETHER}").alias("high")), "copies"))
     zero = F.lit(0).cast("long")
-    own = placed.join(long, "run", "left").select("run", F.when(F.col("low").isNull(), zero).otherwise(F.expr(f"no div {TOGETHER}")).alias("deal"), "key", "host", "path")
-    # the lines of a group's first page go to the group before, those of its last page to the group behind
-    to = F.array_compact(F.array(F.when(F.col("first"), F.struct((F.col("run") - 1).alias("run"), F.lit(-1).alias("d"))), F.when(F.col("last"), F.struct((F.col("run") + 1).alias("run"), F.lit(1).alias("d")))))
-    sent = placed.where("first or last").select(F.col("host").alias("h"), F.col("path").alias("p"), F.col("lines").alias("other"), F.col("key").alias("k"), F.explode(to).alias("x")).select("x.run", "x.d", "h", "p", "other", "k")
+    own = placed.join(long, "run", "left").select("run", F.when(F.col("low").isNull(), zero).otherwise(F.expr(f"no div {TOGETHER}")).alias("deal"), "key", "host", "lines")
+    # the lines of a group's first page go to the groups before, those of its last page to the groups behind
+    to = F.array_compact(F.array(*(F.when(F.col(end), F.col("run") + d * n) for n in range(1, NEAR + 1) for end, d in (("first", -1), ("last", 1)))))
+    sent = placed.where("first or last").select(F.col("host").alias("h"), F.col("lines").alias("other"), F.explode(to).alias("run"))
     sent = sent.join(long, "run", "left").withColumn("deal", F.explode(F.when(F.col("low").isNull(), F.array(zero)).otherwise(F.sequence("low", "high")))).drop("low", "high")
-    met = own.join(sent, ["run", "deal"]).where("host = h")
-    near = F.aggregate(F.sequence(F.lit(1), F.least(F.length("path"), F.length("p"), F.lit(200))), F.lit(0), lambda acc, i: F.when((acc == i - 1) & (F.substring("path", F.lit(1), i) == F.substring("p", F.lit(1), i)), i).otherwise(acc))
-    return met.groupBy("key").agg(F.max_by("other", F.struct(near.alias("near"), F.col("d"), F.col("k"))).alias("other"))
+    return own.join(sent, ["run", "deal"]).where("host = h").select("key", "lines", "other")
 
 
-def _needed(page: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """The lines that main_text() can keep: those that are not marked."""
-    return [x for x in page if x[1] != MARK]
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, shared): a vote for each pair of pages; 2 * place of a shared line, and 1 if it is of the main region."""
+    for batch in batches:
+        votes = []
+        for own, other in zip(batch.column("lines").to_pylist(), batch.column("other").to_pylist(), strict=True):
+            votes.append([2 * k + (own[k] & 1) for k in common([x >> 1 for x in own], [x >> 1 for x in other])])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(votes, pa.list_(pa.int32()))], names=["key", "shared"])
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [_needed(lines(p)) for p in batch.column("html").to_pylist()]
-        cols = [pa.array([[x[k] for x in f] for f in found], t) for k, t in ((0, pa.list_(pa.string())), (1, pa.list_(pa.int32())))]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("page_id"), batch.column("url"), *cols], names=["key", "page_id", "url", "lines", "kinds"])
+def _deleted(pairs: DataFrame) -> DataFrame:
+    """(key, deleted): the places of lines that enough votes delete, for the pages that have any."""
+    votes = pairs.mapInArrow(_aligned, "key long, shared array<int>").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.flatten(F.collect_list("shared")).alias("all"))  # 2 * NEAR votes at most
+    times = lambda x: F.size(F.filter("all", lambda y: y == x))
+    goes = lambda x: F.when(x % 2 == 0, 2 * times(x) >= F.col("n")).otherwise((times(x) == F.col("n")) & (F.col("n") >= 2 * NEAR))
+    return votes.select("key", F.transform(F.filter(F.array_distinct("all"), goes), lambda x: F.shiftright(x, 1)).alias("deleted")).where(F.size("deleted") > 0)
 
 
-def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
-        for own, kinds, other in zip(*(batch.column(c).to_pylist() for c in ("lines", "kinds", "other")), strict=True):
-            shared = set(common([_hash(t) for t in own], other)) if other else set()
-            texts.append(main_text(list(zip(own, kinds, strict=True)), shared))
+        texts = [main_text(lines(p), set(d or ())) for p, d in zip(batch.column("html").to_pylist(), batch.column("deleted").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, differencing: bool = True) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (columns page_id, url and html).
 
     Null or empty html gives an empty text; pages without a usable URL are of one nameless host; a page alone on its
-    host, or there with copies only, has no shared lines. Shared lines go however many they are, so of near copies without
-    a main region only the lines that differ stay. Repeated rows and null ids give a row each. Other columns are ignored; an empty table
-    gives no rows.
+    host, or there with copies only, has no shared lines. Repeated rows and null ids give a row each. Other columns are
+    ignored; an empty table gives no rows. differencing=False leaves only what marks decide, to measure what alignments do.
     """
     ready(pages.sparkSession)
-    keyed = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("key"))
-    hashes = keyed.mapInArrow(_hashes, "key long, host string, path string, lines array<int>, digest long").dropDuplicates(["key"])
-    text = keyed.mapInArrow(_lines, "key long, page_id long, url string, lines array<string>, kinds array<int>")
-    return text.join(neighbours(hashes), "key", "left").mapInArrow(_difference, "page_id long, url string, text string, n_chars long")
+    keyed = pages.select(F.col("page_id").cast("long"), "url", "html", F.xxhash64("page_id", "url", "html").alias("key"))
+    if differencing:
+        hashes = keyed.mapInArrow(_hashes, "key long, host string, path string, lines array<long>, digest long").dropDuplicates(["key"])
+        deleted = small(written(_deleted(near_pages(hashes)), "deleted"))
+    else:
+        deleted = keyed.sparkSession.createDataFrame([], "key long, deleted array<int>")
+    return keyed.join(deleted, "key", "left").select("page_id", "url", "html", "deleted").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
