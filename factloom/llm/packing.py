@@ -25,12 +25,16 @@ from factloom.llm.common import ready, table, written
 from factloom.llm.token_counts import tokenizer_path
 
 LIMIT = 4096
+#: Tokenizer files for which WordIds gives the library's ids.
+BY_WORDS = ("word_bpe_49k.json",)
 #: Entries of a worker's word cache; it starts again when full, so memory stays bounded.
 CACHE_WORDS = 600_000
 #: Texts that are split into words at once.
 TEXTS = 500
-#: Rows of one salted rank window, about.
-WINDOW_ROWS = 50_000
+#: Exchanges that the local search looks at before it stops, on the driver.
+WORK = 60_000_000
+#: Rows of one salted rank window: a thousandth of all, between these bounds.
+LEAST_ROWS, WINDOW_ROWS = 250, 50_000
 #: Letters that are one word for the tokenizer and its normaliser only lower-cases, and marks that are another word.
 _STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%&*$#|()]*)")
 
@@ -117,7 +121,13 @@ def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, limit: int, end_i
 
 
 def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = LIMIT, end_id: int = 1) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 for each piece of at most limit ids; null texts count as empty."""
+    """doc_id, piece, start, length, ids_crc32 for each piece of at most limit ids; null texts count as empty.
+
+    An empty text is one piece with the end id alone. Null or repeated ids give the pieces of each row. Other columns are
+    ignored; an empty table gives no rows. Only tokenizers of which WordIds knows that words are encoded one by one are taken.
+    """
+    if tokenizer not in BY_WORDS:
+        raise ValueError(f"{tokenizer}: its ids are not known to be those of its words in turn; known: {', '.join(BY_WORDS)}")
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _pieces(it, tokenizer, limit, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
@@ -158,92 +168,117 @@ def best_fit(histogram: dict[int, int], limit: int) -> list[tuple[tuple[int, ...
     return [(p, n) for room in rooms for p, n in bins[room]]
 
 
-def local_search(patterns: list[tuple[tuple[int, ...], int]], limit: int, width: int = 48, steps: int = 4000) -> list[tuple[tuple[int, ...], int]]:
-    """Swap-based local search between underfull bins, until none empties any more or `steps` trials are done.
-
-    The emptiest bin gives: it moves a document to another underfull bin, or exchanges one for one or two for one,
-    whenever the other bin ends fuller, so that the squared fill of the two grows. A bin that empties is dropped.
-    Each bin is tried with at most `width` partners in order of room, one copy of a pattern at a time, so at most `steps`
-    exchanges are tried however many bins there are; both bounds are on the driver's work, not on documents:
-    a bin that is not improved stays as it is.
+def _choices(pattern: tuple[int, ...]) -> tuple[list[tuple[int, ...]], list[tuple[int, ...]]]:
+    """The different documents of a bin, and its different pairs of documents, by length."""
+    times = Counter(pattern)
+    one = sorted(times)
+    return [(x,) for x in one], [(x, y) for i, x in enumerate(one) for y in one[i:] if x != y or times[x] > 1]
+
+
+class _Receivers:
+    """What each underfull bin could give back for documents that it gets: nothing, one document or two, as flat arrays."""
+
+    def __init__(self) -> None:
+        self.n = 0
+        self.cols = np.zeros((4, 1024), np.int64)  # sum given back, number given back, fill of the bin, room (-1: gone)
+        self.at: dict[tuple[int, ...], tuple[int, int]] = {}
+        self.sets: list[tuple[tuple[int, ...], tuple[int, ...]]] = []
+
+    def add(self, p: tuple[int, ...], limit: int) -> None:
+        one, two = _choices(p)
+        sets = [(), *one, *two]
+        end = self.n + len(sets)
+        while end > self.cols.shape[1]:
+            self.cols = np.concatenate([self.cols, np.zeros_like(self.cols)], 1)
+        fill = sum(p)
+        self.cols[:, self.n : end] = [[sum(x) for x in sets], [len(x) for x in sets], [fill] * len(sets), [limit - fill] * len(sets)]
+        self.at[p] = self.n, end
+        self.sets += [(p, x) for x in sets]
+        self.n = end
+
+    def drop(self, p: tuple[int, ...]) -> None:
+        start, end = self.at.pop(p)
+        self.cols[3, start:end] = -(1 << 40)
+
+    def best(self, a: tuple[int, ...], alone: bool) -> tuple | None:
+        """(receiver, what a gives, what it gets back) with the largest raise of squared fill; alone: not a itself."""
+        back, number, fill, room = self.cols[:, : self.n]
+        if alone:
+            start, end = self.at[a]
+            held, room[start:end] = room[start:end].copy(), -(1 << 40)
+        found, most, own = None, 0, sum(a)
+        for gives, returned in zip(_choices(a), (2, 1), strict=True):  # two documents go for one at most
+            if gives:
+                gives = sorted(gives, key=sum)
+                sums = np.array([0, *(sum(x) for x in gives)], np.int64)
+                at = np.searchsorted(sums[1:], room + back, "right")  # the most that fits; 0: nothing
+                net = sums[at] - back
+                gain = np.where((net > 0) & (at > 0) & (number <= returned), net * (fill - own + net), 0)
+                k = int(gain.argmax())
+                if gain[k] > most:
+                    most = int(gain[k])
+                    found = self.sets[k][0], gives[at[k] - 1], self.sets[k][1]
+        if alone:
+            room[start:end] = held
+        return found
+
+
+def local_search(patterns: list[tuple[tuple[int, ...], int]], limit: int, work: int = WORK) -> list[tuple[tuple[int, ...], int]]:
+    """Swap-based local search between underfull bins, until no step raises the squared fill any more.
+
+    A step moves one or two documents from one bin to another, or exchanges one for one, one for two or two for one; what
+    the receiver gains must fit its room and raise the sum of the two bins' squared fills. Bins give in order of fill, the
+    emptiest first, and may receive from emptier and fuller ones; of all receivers the one with the largest raise is taken,
+    and the step is done for as many bins with these contents as there are. Both bins' new contents stay in play, and
+    a bin that empties is gone. work: exchanges that are looked at before the search stops wherever it is; a bin that is
+    not improved stays as it is, so the bound costs sequences at most, never documents.
     """
-    full = Counter({p: n for p, n in patterns if sum(p) >= limit})
-    heap: list[tuple[int, tuple[int, ...]]] = []
-    open_bins: Counter = Counter()
+    bins: Counter = Counter()
     for p, n in patterns:
+        bins[tuple(sorted(p, reverse=True))] += n
+    receivers = _Receivers()
+    for p in sorted(bins):
         if sum(p) < limit:
-            open_bins[p] += n
-    for p in open_bins:
-        heapq.heappush(heap, (sum(p), p))
-
-    def add(p: tuple[int, ...]) -> None:
-        p = tuple(sorted(p, reverse=True))
-        if sum(p) >= limit:
-            full[p] += 1
-        elif p:
-            if not open_bins[p]:
-                heapq.heappush(heap, (sum(p), p))
-            open_bins[p] += 1
-
-    def take(p: tuple[int, ...]) -> None:
-        open_bins[p] -= 1
-        if not open_bins[p]:
-            del open_bins[p]
-
-    def less(p: tuple[int, ...], *out: int) -> tuple[int, ...]:
-        p = list(p)
+            receivers.add(p, limit)
+    least = sum(x * n for p, n in bins.items() for x in p) // -limit * -1
+
+    def changed(p: tuple[int, ...], out: tuple[int, ...], back: tuple[int, ...]) -> tuple[int, ...]:
+        left = list(p)
         for x in out:
-            p.remove(x)
-        return tuple(p)
-
-    def better(a: tuple[int, ...], b: tuple[int, ...], room: int):
-        """New contents of a and b with more squared fill, or None: the largest gain for b that fits its room."""
-        one_a, one_b = set(a), set(b)
-        two_a, two_b = (sorted({(x, y) for i, x in enumerate(v) for y in v[i:]} - {(x, x) for x, n in Counter(c).items() if n < 2}) for c, v in ((a, sorted(one_a)), (b, sorted(one_b))))
-        moves = [(x, (x,), ()) for x in one_a if x <= room]
-        moves += [(x - y, (x,), (y,)) for x in one_a for y in one_b if 0 < x - y <= room]
-        moves += [(x - y - z, (x,), (y, z)) for x in one_a for y, z in two_b if 0 < x - y - z <= room]
-        moves += [(x + z - y, (x, z), (y,)) for x, z in two_a for y in one_b if 0 < x + z - y <= room]
-        if not moves:
-            return None
-        _, out, back = max(moves)
-        return less(a, *out) + back, less(b, *back) + out
-
-    roomy = sorted(((sum(p), p) for p in open_bins))
-    done: list[tuple[int, ...]] = []
-    while heap and steps:
-        _, a = heapq.heappop(heap)
-        while open_bins.get(a):
-            take(a)
-            rest, changed, tried = a, True, 0
-            while rest and changed and steps:
-                changed = False
-                tried = 0
-                for _, b in roomy:
-                    if tried >= width:
-                        break
-                    if not open_bins.get(b) or sum(b) < sum(rest):
-                        continue
-                    tried += 1
-                    steps -= 1
-                    if found := better(rest, b, limit - sum(b)):
-                        take(b)
-                        rest = found[0]
-                        add(found[1])
-                        new = tuple(sorted(found[1], reverse=True))
-                        if sum(new) < limit:
-                            insort(roomy, (sum(new), new))
-                        changed = True
-                        break
-            if rest:
-                done.append(tuple(sorted(rest, reverse=True)))
-            if not steps or rest == a:
-                break
-        if rest == a and open_bins.get(a):
-            done += [a] * open_bins.pop(a)
-    out = full + open_bins
-    out.update(done)
-    return sorted(out.items(), reverse=True)
+            left.remove(x)
+        return tuple(sorted([*left, *back], reverse=True))
+
+    improved = True
+    while improved and work > 0 and sum(bins.values()) > least:
+        improved = False
+        todo = [(sum(p), p) for p in receivers.at]
+        heapq.heapify(todo)
+        while todo and work > 0:
+            _, a = heapq.heappop(todo)
+            while bins.get(a) and work > 0:
+                work -= receivers.n
+                if (step := receivers.best(a, bins[a] == 1)) is None:
+                    break
+                b, out, back = step
+                improved = True
+                times = bins[a] // 2 if a == b else min(bins[a], bins[b])
+                for p in (a, b):
+                    bins[p] -= times
+                for p in {a, b}:
+                    if not bins[p]:
+                        del bins[p]
+                        receivers.drop(p)
+                for p in (changed(a, out, back), changed(b, back, out)):
+                    if p:
+                        if not bins[p] and sum(p) < limit:
+                            receivers.add(p, limit)
+                            heapq.heappush(todo, (sum(p), p))
+                        bins[p] += times
+        if receivers.n > 4 * sum(e - s for s, e in receivers.at.values()):  # leave the bins that are gone behind
+            live, receivers = sorted(receivers.at), _Receivers()
+            for p in live:
+                receivers.add(p, limit)
+    return sorted(((p, n) for p, n in bins.items() if n), reverse=True)
 
 
 def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -269,7 +304,7 @@ def _place(batches: Iterator[pa.RecordBatch], runs) -> Iterator[pa.RecordBatch]:
         yield batch.drop_columns(["_rank"]).append_column("sequence_id", pa.array(bin_ + at // each)).append_column("offset", pa.array(offset + length * (at % each)))
 
 
-def pack(parts: DataFrame, limit: int = LIMIT) -> DataFrame:
+def pack(parts: DataFrame, limit: int = LIMIT, work: int = WORK) -> DataFrame:
     """parts with sequence_id and offset; lengths from 1 to limit, sequences of at most limit, gapless from 0.
 
     parts must be stable when read again (a written table). Ties of length are ranked by doc_id, piece and start.
@@ -277,9 +312,11 @@ def pack(parts: DataFrame, limit: int = LIMIT) -> DataFrame:
     """
     spark = parts.sparkSession
     histogram = {r[0]: r[1] for r in parts.groupBy("length").count().collect()}
-    plan = slots(local_search(best_fit(histogram, limit), limit)) if histogram else []
-    salts = 1 + sum(histogram.values()) // WINDOW_ROWS
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    plan = slots(local_search(best_fit(histogram, limit), limit, work)) if histogram else []
+    most = max(LEAST_ROWS, min(WINDOW_ROWS, sum(histogram.values()) // 1000))
+    common_lengths = [x for k, n in sorted(histogram.items()) if n > most for x in (F.lit(k), F.lit(-(-n // most)))]  # at most `limit` of them
+    salts = F.coalesce(F.try_element_at(F.create_map(*common_lengths), F.col("length").cast("int")), F.lit(1)) if common_lengths else F.lit(1)
+    salted = parts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), salts))
     key = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start")
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = salted.groupBy("length", "_salt").count().withColumn("_base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
@@ -290,10 +327,13 @@ def pack(parts: DataFrame, limit: int = LIMIT) -> DataFrame:
     return ranked.select(*parts.columns, "_rank").mapInArrow(lambda it: _place(it, runs), fields.drop("_rank").schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = LIMIT) -> DataFrame:
-    """Pieces of all docs with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = LIMIT, work: int = WORK) -> DataFrame:
+    """Pieces of all docs with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Rows, nulls and empty tables as in pieces() and pack(). work bounds the local search on the driver.
+    """
     ready(docs.sparkSession)
-    return pack(written(pieces(docs, tokenizer, limit), "pieces"), limit)
+    return pack(written(pieces(docs, tokenizer, limit), "pieces"), limit, work)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
