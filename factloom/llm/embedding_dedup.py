@@ -2,8 +2,8 @@
 
 Every vector is hashed in TABLES tables: HASHES pseudo-random rotations (three rounds of random signs and a fast
 Hadamard transform) each give the nearest of the 2d signed axes. A vector stands in its own bucket and in PROBES
-neighbouring ones per table; two vectors are compared where at least one of them is at home. Buckets are cut into
-blocks of bounded size and compared block against block, so a bucket with a third of all vectors is dealt out as
+neighbouring ones per table; two vectors are compared where at least one of them is at home. Equal vectors are one class
+that is compared once and counts as often as it has members. Buckets are cut into blocks of bounded size and compared block against block, so a bucket with a third of all vectors is dealt out as
 well. Links found in several buckets count once: in the first bucket that both vectors share.
 """
 
@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import components, ready, table, written
+from factloom.llm.common import components, hot_join, ready, roots, table, written
 
 COSINE = 0.9
 TABLES, HASHES, PROBES = 4, 2, 2
@@ -75,50 +76,46 @@ def codes(x: np.ndarray) -> np.ndarray:
     return np.stack(out, 2).astype(np.int32)
 
 
-def _unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Usable rows (not null, of the commonest dimension of all, finite, not zero) and their unit vectors in doubles."""
+def _unit(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Usable rows (not null or empty, finite, not zero) and their unit vectors in doubles."""
     rows = [(i, np.array(v, np.float64)) for i, v in enumerate(column.to_pylist()) if v is not None and len(v) and None not in v]
-    rows = [(i, v) for i, v in rows if np.isfinite(v).all() and (v != 0).any()]
-    return np.array([i for i, _ in rows], np.int64), [v / np.sqrt((v / np.abs(v).max() @ (v / np.abs(v).max()))) / np.abs(v).max() for _, v in rows]
+    rows = [(i, v / np.abs(v).max()) for i, v in rows if np.isfinite(v).all() and (v != 0).any()]
+    return np.array([i for i, _ in rows], np.int64), [v / np.sqrt(v @ v) + 0.0 for _, v in rows]
 
 
-ENTRY = "bucket long, vec_id long, salt int, v array<double>, codes array<int>, probe int"
+UNIT = "vec_id long, digest binary, v array<double>"
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each table and bucket of each vector; vectors of different lengths share no bucket."""
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The unit vectors and their digests."""
     for batch in batches:
         at, units = _unit(batch.column("embedding"))
-        ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(at)), pa.array([xxhash.xxh3_128_digest(u.tobytes()) for u in units], pa.binary()), pa.array(units, pa.list_(pa.float64()))], names=["vec_id", "digest", "v"])
+
+
+ENTRY = "bucket long, vec_id long, salt int, v array<double>, codes array<int>, probe int, mult long"
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each table and bucket of each unit vector; vectors of different lengths share no bucket."""
+    for batch in batches:
+        units = [v.values.to_numpy() for v in batch.column("v")]
+        ids, mult = (batch.column(c).to_numpy() for c in ("vec_id", "mult"))
         for dim in sorted({len(u) for u in units}):
-            rows = [k for k, u in enumerate(units) if len(u) == dim]
+            rows = np.array([k for k, u in enumerate(units) if len(u) == dim])
             x = np.stack([units[k] for k in rows])
             c = codes(x)
             each = c.shape[2]
             n = len(rows) * TABLES * each
             number = (np.int64(dim) << 48) + (np.arange(TABLES, dtype=np.int64) << 40)[None, :, None] + c
             who = np.repeat(np.arange(len(rows)), TABLES * each)
-            vecs = ids[at[rows]][who]
+            vecs = ids[rows][who]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(number.ravel()), pa.array(vecs.astype(np.int64)), pa.array((vecs * 2654435761 % (1 << 31)).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(x[who].ravel())), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (TABLES * each)), pa.array(c.reshape(len(rows), -1)[who].ravel())), pa.array(np.tile(np.arange(each, dtype=np.int32), len(rows) * TABLES))],
-                names=["bucket", "vec_id", "salt", "v", "codes", "probe"],
+                [pa.array(number.ravel()), pa.array(vecs.astype(np.int64)), pa.array((vecs * 2654435761 % (1 << 31)).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(x[who].ravel())), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (TABLES * each)), pa.array(c.reshape(len(rows), -1)[who].ravel())), pa.array(np.tile(np.arange(each, dtype=np.int32), len(rows) * TABLES)), pa.array(mult[rows][who])],
+                names=["bucket", "vec_id", "salt", "v", "codes", "probe", "mult"],
             )
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest row reachable by pairs, for each of n rows."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _compare(x: dict, y: dict | None, bucket: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, links) and (ids, root ids) of one block against itself (y None) or another."""
     other = x if y is None else y
@@ -131,7 +128,7 @@ def _compare(x: dict, y: dict | None, bucket: int) -> tuple[np.ndarray, np.ndarr
     i, j = np.nonzero(near)
     ids = np.r_[x["id"], other["id"]] if y is not None else x["id"]
     j_all = j + (len(x["id"]) if y is not None else 0)
-    root = _roots(len(ids), i, j_all)
+    root = roots(len(ids), i, j_all)
     # counted only in the first bucket, by table and number, where the two meet with one of them at home
     table, code = bucket >> 40 & 255, bucket & ((1 << 40) - 1)
     a, b = x["codes"][i], other["codes"][j]
@@ -143,8 +140,8 @@ def _compare(x: dict, y: dict | None, bucket: int) -> tuple[np.ndarray, np.ndarr
                 if p == 0 or q == 0:
                     same = a[:, t, p] == b[:, t, q]
                     first &= ~(same & ((t < table) | (a[:, t, p] < code)))
-    links = np.bincount(i[first], minlength=len(ids)) + np.bincount(j_all[first], minlength=len(ids))
-    return ids, links, ids[root]
+    links = np.bincount(i[first], other["mult"][j[first]], len(ids)) + np.bincount(j_all[first], x["mult"][i[first]], len(ids))
+    return ids, links.astype(np.int64), ids[root]
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +150,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
-        cols = {c: t.column(c).to_numpy() for c in ("bucket", "lo", "hi", "side", "vec_id", "probe")}
+        cols = {c: t.column(c).to_numpy() for c in ("bucket", "lo", "hi", "side", "vec_id", "probe", "mult")}
         start = np.flatnonzero(np.r_[True, (np.diff(cols["bucket"]) != 0) | (np.diff(cols["lo"]) != 0) | (np.diff(cols["hi"]) != 0)])
         out: list[tuple] = []
         for s, e in zip(start, np.r_[start[1:], len(t)], strict=True):
@@ -161,7 +158,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows = t.slice(s, e - s)
                 flat = lambda c, rows=rows: rows.column(c).combine_chunks().flatten().to_numpy()
                 side = cols["side"][s:e]
-                all_ = {"id": cols["vec_id"][s:e], "probe": cols["probe"][s:e], "v": flat("v").reshape(e - s, -1), "codes": flat("codes").reshape(e - s, TABLES, -1)}
+                all_ = {"id": cols["vec_id"][s:e], "probe": cols["probe"][s:e], "mult": cols["mult"][s:e], "v": flat("v").reshape(e - s, -1), "codes": flat("codes").reshape(e - s, TABLES, -1)}
                 if cols["lo"][s] == cols["hi"][s]:
                     out.append(_compare(all_, None, int(cols["bucket"][s])))
                 elif 0 < side.sum() < e - s:
@@ -190,24 +187,29 @@ def dedup(vectors: DataFrame) -> DataFrame:
 
     Links are pairs of vectors of equal length with a cosine of at least COSINE in double precision. Vectors that are
     null, empty, zero or hold null or non-finite components link with nothing. Null ids give a row without component;
-    rows that repeat an id are one vector. Other columns are ignored; an empty table gives no rows.
+    rows that repeat an id are one vector, that with the least digest where they differ. Other columns are ignored; an
+    empty table gives no rows.
     """
     spark = ready(vectors.sparkSession)
     usable = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
-    entries = usable.mapInArrow(_entries, ENTRY)
+    units = usable.mapInArrow(_units, UNIT)
+    known = written(units.groupBy("vec_id").agg(F.min("digest").alias("digest")), "digests")
+    classes = known.groupBy("digest").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("mult"))
+    entries = units.join(classes, ["vec_id", "digest"]).dropDuplicates(["vec_id"]).select("vec_id", "v", "mult").mapInArrow(_entries, ENTRY)
     counts = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     placed = entries.join(counts, "bucket").withColumn("cuts", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("cut", F.col("salt") % F.col("cuts"))
     # block k of a bucket meets every block: as the lower side those behind it, as the upper those before it
     placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    placed = placed.select("bucket", F.least("cut", "with").alias("lo"), F.greatest("cut", "with").alias("hi"), (F.col("cut") > F.col("with")).cast("int").alias("side"), "vec_id", "v", "codes", "probe")
+    placed = placed.select("bucket", F.least("cut", "with").alias("lo"), F.greatest("cut", "with").alias("hi"), (F.col("cut") > F.col("with")).cast("int").alias("side"), "vec_id", "v", "codes", "probe", "mult")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     grouped = placed.repartition(parts, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "vec_id")
     found = written(grouped.mapInArrow(_links, "vec_id long, n long, root long"), "links")
-    links = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-    comp = components(found.where("root <> vec_id").select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
-    rows = vectors.select(F.col("vec_id").cast("long"))
-    out = rows.join(links, "vec_id", "left").join(comp.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    links = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
+    comp = components(found.where("root <> vec_id"), "vec_id", "root").withColumnRenamed("node", "vec_id")
+    each = classes.join(links, "vec_id", "left").join(comp, "vec_id", "left")
+    each = each.select("digest", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    every = hot_join(known, each, "digest", "vec_id", known.count())
+    out = vectors.select(F.col("vec_id").cast("long")).join(every, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
