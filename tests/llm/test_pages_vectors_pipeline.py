@@ -28,12 +28,41 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_by_rounds(spark, monkeypatch):
+    monkeypatch.setattr(common, "LOCAL_EDGES", 40)  # so that no task has all edges
+    monkeypatch.setattr(common, "HOT_ROWS", 10)  # so that hubs are dealt out
+    test_components(spark)
+
+
+def test_hot_keys_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    left = [(k % 3 if k % 2 else 0, k) for k in range(200)] + [(None, 1), (9, 2)]
+    right = [(0, "a"), (1, "b"), (9, "c"), (7, "d")]
+    a, b = spark.createDataFrame(left, "k long, v long"), spark.createDataFrame(right, "k long, w string")
+    for how in ("inner", "left"):
+        got = sorted(map(tuple, common.hot_join(a, b, "k", "v", len(left), how).select("k", "v", "w").collect()), key=str)
+        assert got == sorted(map(tuple, a.join(b, "k", how).select("k", "v", "w").collect()), key=str)
+
+
+def test_samples_are_the_smallest_hashes(spark):
+    from pyspark.sql import functions as F
+
+    from factloom.llm import training
+
+    rows = spark.createDataFrame([(k, "often" if k % 50 else "rare") for k in range(3000)], "doc_id long, label string")
+    got = {(r["label"], r["doc_id"]) for r in training.smallest(rows, "label", 100)}
+    by = rows.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))).collect()
+    assert got == {(g, r.doc_id) for g in ("often", "rare") for r in sorted((r for r in by if r.label == g), key=lambda r: (r.h, r.doc_id))[:100]}
+    texts = training.texts_of(spark.createDataFrame([(1, "b"), (1, "a"), (2, None), (3, "c" * 99), (4, "d")], "doc_id long, text string"), [1, 2, 3], chars=9)
+    assert texts == [(1, "a"), (3, "c" * 9)]
+
+
 def test_bitmap_never_loses_an_id(spark):
     from pyspark.sql import functions as F
 
     ids = spark.range(0, 30000, 7)
     bits = common.bitmap(ids, "id")
-    p = np.array([r.p for r in spark.range(30000).select(common.bit_of(F.col("id")).alias("p")).collect()])
+    p = np.array([r.p for r in spark.range(30000).select(common.bit_of(F.col("id"), bits).alias("p")).collect()])
     hit = common.has_bit(bits, p)
     assert hit[::7].all() and hit.mean() < 0.2
 
@@ -66,6 +95,16 @@ def test_embedding_dedup(spark, monkeypatch):
     assert embedding_dedup.dedup(table.limit(0)).count() == 0
 
 
+def test_equal_vectors_and_repeated_ids_are_one_class(spark):
+    e = np.eye(4)
+    rows = [(k, e[0].tolist()) for k in range(40)] + [(5, e[0].tolist()), (50, (2 * e[0]).tolist()), (51, (e[0] + 0.1 * e[1]).tolist()), (52, e[2].tolist()), (53, [-0.0, 0.0, 1.0, 0.0]), (None, e[0].tolist()), (60, None), (60, None)]
+    got = embedding_dedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert len(got) == len(rows)
+    by = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got}
+    assert all(by[k] == (41, 0, k == 0) for k in [*range(40), 50, 51]) and by[52] == (1, 52, True) and by[53] == (1, 52, False)
+    assert by[None] == (0, None, False) and by[60] == (0, 60, True)
+
+
 def test_recall_at_the_threshold():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 64))
@@ -122,7 +161,7 @@ def test_long_menus_and_notices_beside_copies_go(spark):
 
 
 @pytest.mark.parametrize("together", [3, 1000])
-def test_neighbours_are_no_copies(spark, monkeypatch, together):
+def test_near_pages_are_no_copies(spark, monkeypatch, together):
     monkeypatch.setattr(html_text, "TOGETHER", together)
     rng = random.Random(together)
     rows = []
@@ -131,16 +170,51 @@ def test_neighbours_are_no_copies(spark, monkeypatch, together):
             digest = rng.randrange(5)
             rows += [(k, host, f"/{k:03}", [k], digest) for k in range(len(rows), len(rows) + rng.choice([1, 1, 2, 40]))]
     rows += [(k, "e", f"/{k:03}", [k], 7) for k in range(len(rows), len(rows) + 20)]  # copies only
-    near = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), len(a))
-    want = {}
-    for i, (k, host, path, _, digest) in enumerate(rows):
-        before = next((r for r in reversed(rows[:i]) if (r[1], r[4]) != (host, digest)), None)
-        after = next((r for r in rows[i + 1 :] if (r[1], r[4]) != (host, digest)), None)
-        both = [(near(path, r[2]), d, r[3]) for r, d in ((before, 1), (after, -1)) if r and r[1] == host]
-        if both:
-            want[k] = max(both)[2]
-    table = spark.createDataFrame(rng.sample(rows, len(rows)), "key long, host string, path string, lines array<int>, digest long")
-    assert {r.key: r.other for r in html_text.neighbours(table).collect()} == want
+    groups = []
+    for r in rows:
+        if not groups or (groups[-1][-1][1], groups[-1][-1][4]) != (r[1], r[4]):
+            groups.append([])
+        groups[-1].append(r)
+    want = set()
+    for g, members in enumerate(groups):
+        near = [groups[x][-1 if x < g else 0] for x in (g - 2, g - 1, g + 1, g + 2) if 0 <= x < len(groups)]
+        want |= {(m[0], n[0]) for m in members for n in near if n[1] == m[1]}
+    table = spark.createDataFrame(rng.sample(rows, len(rows)), "key long, host string, path string, lines array<long>, digest long")
+    got = [(r.key, r.other[0]) for r in html_text.near_pages(table).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_votes_delete_lines_inside_articles_and_marks_do_not_need_them(spark):
+    """Against brute force: alignments with the two pages on either side, half of the votes outside, all four inside."""
+    rng = random.Random(8)
+    notice = ["We use biscuits", "All rights of this site", "Write to us"]
+    pages = []
+    for k in range(40):
+        inside = [(f"Story {k} {j}", html_text.MAIN) for j in range(3)]
+        if k < 25:
+            inside.insert(rng.randrange(4), ("Subscribe to our letter", html_text.MAIN))  # on every page: a notice
+        elif rng.random() < 0.4:
+            inside.insert(rng.randrange(4), ("A line that articles quote", html_text.MAIN))
+        outside = [(x, html_text.OTHER) for x in notice if rng.random() < 0.7] + [(f"Body {k}", html_text.OTHER)]
+        pages.append((f"/{k:02}", inside, outside))
+    html_of = lambda p: f"<nav>Menu {p[0]}</nav><article>{''.join(f'<p>{t}</p>' for t, _ in p[1])}</article>{''.join(f'<div>{t}</div>' for t, _ in p[2])}<div class=ad>Ad {p[0]}</div>"
+    table = spark.createDataFrame([(k, f"http://h.example{p[0]}", html_of(p)) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    want, marks_only = {}, {}
+    for k, (_, inside, outside) in enumerate(pages):
+        own = inside + outside
+        votes = [html_text.common([t for t, _ in own], [t for t, _ in pages[x][1] + pages[x][2]]) for x in (k - 2, k - 1, k + 1, k + 2) if 0 <= x < len(pages)]
+        n = [sum(i in v for v in votes) for i in range(len(own))]
+        gone = {i for i, (_, kind) in enumerate(own) if 2 * n[i] >= len(votes) and kind == html_text.OTHER or n[i] == 4}
+        want[k], marks_only[k] = ("\n".join(t for i, (t, _) in enumerate(own) if i not in x) for x in (gone, set()))
+    assert {r.page_id: r.text for r in html_text.extract(table).collect()} == want
+    assert {r.page_id: r.text for r in html_text.extract(table, differencing=False).collect()} == marks_only
+    assert not any("Subscribe" in want[k] for k in range(3, 22)) and any("articles quote" in t for t in want.values())
+
+
+def test_quotes_that_are_never_closed_and_long_pages(spark):
+    rows = [(1, "http://a.example/", '<p>a</p><a title="foo>bar</a><p>z</p>'), (2, "http://a.example/", "<p data=it's>one</p><p class='x'>two"), (3, "http://a.example/", "<div>" + "".join(f"<p>line {k} of many</p>" for k in range(30000)) + "</div>"), (4, "http://a.example/", "x" * 500000), (5, "http://a.example/", "<" * 20000)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "a\nbar\nz" and got[2] == "one\ntwo" and got[3].count("\n") == 29999 and got[4] == "x" * 500000
 
 
 def test_common_is_a_longest_common_subsequence():
@@ -191,3 +265,29 @@ def test_pipeline_stages(spark, tmp_path, odd):
             assert docs.where("doc_id = 4001 and text like '%[EMAIL]'").count() == 1 and docs.count() == before.count()
     assert {i for i, _ in good} <= ids and docs.groupBy("sequence_id").sum("length").where("`sum(length)` > 4096").count() == 0
     assert p.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_pipeline_keeps_every_text_of_a_repeated_id(spark, tmp_path):
+    import corpus_pipeline as p
+
+    long = lambda w, n=12: " ".join(f"{w}{k}" for k in range(n))
+    rows = [(5, long("a"), 1), (5, long("b"), 2), (7, long("c"), 3), (None, long("d"), 4), (None, long("c"), 5), (9, long("b"), 6), (8, "", 7), (8, "", 8), (None, None, 9)]
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for i, t, k in rows], "doc_id long, text string, lang string, source string, _row long")
+    got = p.keep_one_of_each_group(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted(r._row for r in got.collect()) == [1, 2, 3, 4, 7, 8, 9]
+
+
+def test_pipeline_of_empty_tables_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline as p
+
+    columns = "doc_id long, text string, lang string, source string, n_chars long, score double, token long, component_id long, item_id long, spans string, length long, start long, row long"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, rows in (("none", []), ("some", [(1, "a text of some words, with a@b.co inside", "en", "s", 9, 0.5, 1, 2, 3, "x", 4, 5, 6), (2, None, None, None, None, None, None, None, None, None, None, None, None)])):
+        docs = spark.createDataFrame(rows, columns)
+        for _, stage in p.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns
+        packed = p.pack_sequences(spark, p.mask_personal_data(spark, docs, str(tmp_path)), str(tmp_path))
+        assert packed.count() == len(rows), name
