@@ -41,14 +41,15 @@ def unpivot(df: DataFrame, keys: Sequence[str], fields: Mapping[str, str], drop_
     return out.where("value_json is not null and value_json <> '\"\"'") if drop_missing else out
 
 
-def unpivot_paths(df: DataFrame, keys: Sequence[str], records: str, paths: Mapping[str, str]) -> DataFrame:
-    """Array of nested records x field paths: keys, record, field, amount; missing and null amounts are skipped.
+def unpivot_paths(df: DataFrame, keys: Sequence[str], records: str, paths: Mapping[str, str], carry: Mapping[str, str] | None = None) -> DataFrame:
+    """Array of nested records x field paths: keys, record, carried columns, field, amount; missing and null amounts are skipped.
 
-    paths: field name -> dotted path inside a record.
+    paths: field name -> dotted path inside a record; carry: column -> dotted path of a value to keep beside each amount.
     """
-    rows = df.select(*keys, F.posexplode(records).alias("record", "r"))
+    carry = carry or {}
+    rows = df.select(*keys, F.posexplode(records).alias("record", "r")).select(*keys, "record", *(F.col(f"r.{p}").alias(c) for c, p in carry.items()), "r")
     cells = [F.struct(F.lit(f).alias("field"), F.col(f"r.{p}").cast("double").alias("amount")) for f, p in paths.items()]
-    return rows.select(*keys, "record", F.inline(F.array(*cells))).where("amount is not null")
+    return rows.select(*keys, "record", *carry, F.inline(F.array(*cells))).where("amount is not null")
 
 
 def check(df: DataFrame, rules: Sequence[tuple[str, Column]]) -> DataFrame:

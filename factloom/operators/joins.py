@@ -25,10 +25,10 @@ def suffixes(host: Column, least: int = 1) -> Column:
 
 
 def suffix_join(rows: DataFrame, host: str, domains: DataFrame, domain: str, how: str = "left_semi") -> DataFrame:
-    """Rows whose host is one of the domains or below one, by an equi-join on the host's suffixes."""
-    keyed = rows.withColumn("_row", F.monotonically_increasing_id())
-    hit = keyed.select("_row", F.explode(suffixes(F.col(host))).alias("_s")).join(small(domains.select(F.col(domain).alias("_s")).distinct()), "_s", "left_semi").select("_row").distinct()
-    return keyed.join(hit, "_row", how).drop("_row")
+    """Rows whose host is one of the domains or below one, by an equi-join on the suffixes of the distinct hosts."""
+    hosts = rows.select(host).where(F.col(host).isNotNull()).distinct()
+    hit = hosts.select(host, F.explode(suffixes(F.col(host))).alias("_s")).join(small(domains.select(F.col(domain).alias("_s")).distinct()), "_s", "left_semi").select(host).distinct()
+    return rows.join(hit, host, how).select(*rows.columns)
 
 
 def bridge(postings: DataFrame, org: str, bridges: DataFrame, child: str, parent: str, subjects: DataFrame, subject: str) -> DataFrame:

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.session import small
+
 
 def employee_band(n: Column) -> Column:
     """Fixed bands of company sizes."""
@@ -32,7 +34,7 @@ def stratified(rows: DataFrame, key: str, stratum: Sequence[str], total: int, se
     ranked = rows.withColumn("digest", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256))
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*stratum).orderBy("digest")))
     limit = quotas(rows, stratum, total).select(*stratum, "quota")
-    return ranked.join(F.broadcast(limit), list(stratum)).where("rank <= quota")  # strata: a bounded catalogue
+    return ranked.join(small(limit), list(stratum)).where("rank <= quota")
 
 
 def pick_one_per_host(candidates: list[tuple[str, str, str, str | None]], quota: dict[str, int]) -> list[str]:
@@ -69,6 +71,25 @@ def pick_one_per_host(candidates: list[tuple[str, str, str, str | None]], quota:
     return out
 
 
+def stratified_per_host(rows: DataFrame, key: str, stratum: str, host: str, total: int, seed: str) -> DataFrame:
+    """As stratified, but no host twice: rows with pick (from 0), in the order in which pick_one_per_host takes them.
+
+    Of a host only the row of a stratum with the smallest digest can be picked, and the picks pass over at most one row
+    for each host that another stratum has used; so 2 * total rows of each stratum, by digest, are enough for the same picks
+    as all rows give, and only they reach the driver.
+    """
+    ranked = rows.withColumn("digest", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256))
+    lone = ranked.where(F.col(host).isNull()).select(stratum, "digest", key, F.lit(None).cast("string").alias("h"))
+    first = ranked.where(F.col(host).isNotNull()).groupBy(stratum, F.col(host).cast("string").alias("h")).agg(F.min_by(F.struct("digest", key), "digest").alias("r")).select(stratum, "r.digest", f"r.{key}", "h")
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy("digest"))
+    near = first.unionByName(lone).withColumn("_k", place).where(F.col("_k") <= 2 * total)
+    quota = {r[stratum]: r["quota"] for r in quotas(rows, [stratum], total).collect()}
+    keys = {str(r[key]): r[key] for r in near.collect()}
+    picks = pick_one_per_host([(r["digest"], str(r[key]), r[stratum], r["h"]) for r in near.collect()], quota)
+    picked = rows.sparkSession.createDataFrame([(keys[k], n) for n, k in enumerate(picks)], f"{key} {rows.schema[key].dataType.simpleString()}, pick int")
+    return ranked.join(F.broadcast(picked), key)  # at most `total` rows
+
+
 def split(rows: DataFrame, key: str, stratum: Sequence[str], sizes: Sequence[int], seed: str) -> DataFrame:
     """rows with part: disjoint parts of the given sizes, dealt within strata by digest rank; beyond them: null.
 

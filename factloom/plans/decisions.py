@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import claims, constraints, refresh
+from factloom.operators import claims, constraints, envelope, refresh
 from factloom.plans.registry import registrar
 from factloom.session import table
 
@@ -53,9 +53,8 @@ def q_filing_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     filing = F.struct("l_linenumber", F.struct(F.col("l_extendedprice").alias("total")).alias("assets"), F.struct(F.when(F.col("l_quantity") > 10, F.col("l_quantity")).alias("total")).alias("debt"), (0 - F.col("l_tax")).alias("result"))
     filings = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(filing)).alias("filings"))  # an order's lines: few
-    out = claims.unpivot_paths(filings, ["l_orderkey"], "filings", {"total_assets": "assets.total", "total_debt": "debt.total", "annual_result": "result"})
-    number = filings.select("l_orderkey", F.posexplode("filings").alias("record", "f")).select("l_orderkey", "record", F.col("f.l_linenumber").alias("n"))
-    return out.join(number, ["l_orderkey", "record"]).select("l_orderkey", (F.col("n") - 1).cast("long").alias("record"), "field", F.round("amount", 6).alias("amount"))
+    out = claims.unpivot_paths(filings, ["l_orderkey"], "filings", {"total_assets": "assets.total", "total_debt": "debt.total", "annual_result": "result"}, {"n": "l_linenumber"})
+    return out.select("l_orderkey", (F.col("n") - 1).cast("long").alias("record"), "field", F.round("amount", 6).alias("amount"))
 
 
 CHECK_RULES = "case when s_suppkey % 7 = 0 then 'wrong subject' when s_suppkey % 5 = 0 then 'blank value' when s_acctbal < 0 then 'negative value' end"
@@ -198,15 +197,28 @@ def q_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return constraints.repeated(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"])
 
 
-@query("""
-select c_custkey, rule from (select *, case when c_custkey % 9 = 0 then null else c_name end as name from customer) c, lateral (values
-  ('name is present', name is not null), ('balance is not negative', c_acctbal >= 0), ('segment is known', c_mktsegment in ('BUILDING', 'MACHINERY', 'HOUSEHOLD')),
-  ('nation is in range', c_nationkey between 0 and 20)) t(rule, ok) where not coalesce(ok, false)
-""")
+_FAULTS = {
+    0: ["subject: has a terminal row"], 1: ["evidence: https source"], 2: ["claim: available if and only if it has evidence", "evidence: is cited"], 3: ["claim: evidence exists", "evidence: is cited"],
+    4: ["run: times in order"], 5: ["claim: a reason unless available"],
+}
+
+
+@query("select c_custkey::varchar as subject, unnest(case c_custkey % 7 " + " ".join(f"when {k} then {v!r}" for k, v in _FAULTS.items()) + " else [] end) as rule from customer")
 def q_envelope_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").withColumn("name", F.when(F.col("c_custkey") % 9 != 0, F.col("c_name")))
-    rules = [("name is present", F.col("name").isNotNull()), ("balance is not negative", F.col("c_acctbal") >= 0), ("segment is known", F.col("c_mktsegment").isin("BUILDING", "MACHINERY", "HOUSEHOLD")), ("nation is in range", F.col("c_nationkey").between(0, 20))]
-    return constraints.violations(rows, ["c_custkey"], rules)
+    """An envelope for each customer with a claim that is available and one that failed; six of seven have a planted fault."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("subject"), "c_name", (F.col("c_custkey") % 7).alias("fault"))
+    fault = lambda k, bad, good: F.when(F.col("fault") == k, bad).otherwise(good)
+    text = lambda x: F.lit(x).cast("string")
+    none = F.array().cast("array<string>")
+    claim = lambda field, value, state, reason, ids: F.struct(F.lit(field).alias("field"), F.sha2(F.concat("subject", F.lit(field)), 256).alias("claim_id"), value.alias("value_json"), F.lit(state).alias("availability"), reason.alias("reason"), ids.alias("evidence_ids"))
+    ids = F.when(F.col("fault") == 2, none).otherwise(F.array(fault(3, F.lit("e9"), F.lit("e1"))))
+    both = F.array(claim("legal_name", F.to_json(F.array("c_name")), "available", text(None), ids), claim("staff", text(None), "failed", fault(5, text(None), text("no answer")), none))
+    claims_ = c.select("subject", "c_name", "fault", F.inline(both)).select("subject", "field", "claim_id", "value_json", "availability", "reason", "evidence_ids")
+    at = text("2026-01-02T00:00:00Z")
+    evidence = c.select("subject", F.lit("e1").alias("id"), fault(1, text("http://a.no/"), text("https://a.no/")).alias("source_url"), at.alias("retrieved_at"), F.sha2("c_name", 256).alias("content_sha256"), F.col("c_name").alias("claim_span"))
+    changes = spark.createDataFrame([], "subject string, claim_id string, kind string, old_value string, new_value string, observed_at string")
+    runs = c.where("fault <> 0").select("subject", at.alias("started_at"), fault(4, text("2026-01-01T00:00:00Z"), text("2026-01-03T00:00:00Z")).alias("completed_at"), F.lit("completed").alias("terminal_status"))
+    return envelope.envelope_violations(c.select("subject"), claims_, evidence, changes, runs)
 
 
 @query("""

@@ -40,9 +40,14 @@ def q_company_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", text.company_key(dressed).alias("key"), text.company_key(text.trade_name(F.concat("c_name", F.lit(" Ltd")))).alias("plain_key"))
 
 
-@query()
+_WORDS = "string_split(trim(regexp_replace(text, '[\\s\\x{85}\\x{a0}]+', ' ', 'g')), ' ')"
+
+
+@query(f"""
+select doc_id, 1 + len(list_filter(range(1, len(w)), lambda i: regexp_matches(w[i], '[.!?]$') and regexp_matches(w[i + 1], '^[\\p{{Lu}}\\d]') and not regexp_matches(w[i], '(^|[^\\p{{L}}\\p{{N}}_])\\p{{Lu}}\\.$')
+  and not regexp_matches(w[i], '(^|[^\\p{{L}}\\p{{N}}_])(bl|ca|dr|dvs|etc|f\\.eks|inc|jr|kl|nr|osv|st)\\.$')))::bigint as sentences from (select doc_id, {_WORDS} as w from documents)
+""")
 def q_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Look-behind patterns: held in the tests against a split by character checks."""
     return table(spark, sf_dir, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).cast("long").alias("sentences"))
 
 
@@ -89,7 +94,12 @@ def q_html_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first"), F.max("end").alias("last"))
 
 
-@query()
+_SHOWN = "regexp_replace(html, '(?s)<(style|script)[^>]*>.*?</(style|script)>|<!--.*?-->', '', 'g')"
+_SPACED = f"regexp_replace(regexp_replace({_SHOWN}, '</(p|section|article|footer|address|li|a|h[1-6])>|<(br|meta)[^>]*>', ' ', 'g'), '</?[a-zA-Z!][^>]*(>|$)', '', 'g')"
+_DECODED = f"regexp_replace(replace(replace(replace({_SPACED}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g')"
+
+
+@query(f"select page_id, length(trim(regexp_replace({_DECODED}, '[\\s\\x{{85}}\\x{{a0}}]+', ' ', 'g'))) as n_chars from pages")
 def q_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.length(htmlx.visible_text_udf("html")).cast("long").alias("n_chars"))
 
@@ -123,9 +133,9 @@ def q_periods_and_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", dates.period_ok(F.when(odd, day).otherwise(later), F.when(odd, later).otherwise(day)).alias("ok"), shown.cast("string").alias("shown"), dates.not_after(day, F.lit("1996-01-01 12:00:00").cast("timestamp")).alias("before"))
 
 
-@query()
+@query("select s_suppkey, 'https://facebook.com/NordPump' || case when s_suppkey % 2 = 0 then s_suppkey::varchar else 'Group' end as profile, case when s_suppkey % 2 = 0 then 0.98 else 0.0 end::double as score from supplier")
 def q_social_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Company names against handles and profile addresses; golden cases are in the tests."""
+    """Company names against handles and profile addresses: a group's handle proves no company of another name."""
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("Nordpump "), F.col("s_suppkey"), F.lit(" AS")).alias("name"), F.concat(F.lit("https://www.facebook.com/NordPump"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_suppkey").cast("string")).otherwise("Group"), F.lit("/about")).alias("link"))
     out = rows.withColumn("profile", urls.profile_udf("link"))
     return out.select("s_suppkey", "profile", urls.handle_score_udf("name", F.element_at(F.split("profile", "/"), -1)).alias("score"))

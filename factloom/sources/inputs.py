@@ -40,9 +40,12 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
-    """canonical(string) of each line; a line that strict JSON refuses raises when it is read."""
+    """canonical(string) of each line; a line that strict JSON refuses raises when it is read, and so does too large a file."""
     from pyspark.sql import functions as F
 
+    sizes = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0  # the files' sizes; no content is read
+    if sizes > STATE_BYTES:
+        raise ValueError(f"saved state of {sizes} bytes; the cap is {STATE_BYTES}")
     rows = spark.read.text(path).where("trim(value) <> ''")
     text = jsonx.canonical_json("value")
     return rows.select(F.when(text.isNull(), F.raise_error(F.concat(F.lit("not strict JSON: "), F.substring("value", 1, 80)))).otherwise(text).alias("canonical"))

@@ -35,8 +35,8 @@ def publish(df: DataFrame, path: str, pos: str | None = None) -> None:
 
 
 def report(spark: SparkSession, output: str, path: str) -> DataFrame:
-    """The completion marker of an output folder: files, lines and a digest of the lines by file; written last."""
-    lines = spark.read.text(output).select(F.input_file_name().alias("file"), "value")
-    marks = lines.groupBy(F.element_at(F.split("file", "/"), -1).alias("file")).agg(F.count(F.lit(1)).alias("lines"), F.expr("bit_xor(xxhash64(value))").alias("digest"))
-    marks.write.mode("errorifexists").parquet(path)
+    """The completion marker of an output folder: files, lines and a SHA-256 of each file's bytes; written last."""
+    files = spark.read.format("binaryFile").load(f"{output}/part-*").select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("output_sha256"), "length")
+    lines = spark.read.text(output).groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")).agg(F.count(F.lit(1)).alias("lines"))
+    files.join(lines, "file", "left").select("file", F.coalesce("lines", F.lit(0)).alias("lines"), "length", "output_sha256").write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
