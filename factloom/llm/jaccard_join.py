@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bit_of, bitmap, components, few_ids, has_bit, ready, table, written
+from factloom.llm.common import bit_of, bitmap, components, few_ids, has_bit, hot_join, ready, table, written
 
 WORDS = 5
 PERCENT = 75
@@ -525,8 +525,8 @@ def join_documents(docs: DataFrame) -> DataFrame:
     rest = rest.join(comp, F.col("a") == F.col("node"), "left").select("token", "a", F.coalesce("component", "a").alias("c"))
     sizes = rest.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("size"))
     cuts = lambda k: F.ceil(k / BLOCK).cast("int")
-    mixed = sizes.where("size > most").select("token", "main", cuts(F.col("most")).alias("mains"), cuts(F.col("size") - F.col("most")).alias("others"))
-    rest = written(rest.join(mixed, "token"), "rest")
+    mixed = sizes.where("size > most").select("token", "main", (F.col("size") <= BLOCK).alias("one"), cuts(F.col("most")).alias("mains"), cuts(F.col("size") - F.col("most")).alias("others"))
+    rest = written(hot_join(rest, mixed, "token", "a", big.count()), "rest")
     if rest.take(1):
         keyed, bits = _candidates(docs, rest.select(F.col("a").alias("id")))
         sketches = keyed.mapInArrow(lambda it: _sketches(it, frequent, bits), SKETCH).select(F.col("id").alias("a"), "n", "marks")
@@ -534,11 +534,13 @@ def join_documents(docs: DataFrame) -> DataFrame:
         named_all = rest.withColumn("tokens", F.slice(F.sort_array(own), 1, TOKENS))
         is_main = F.col("c") == F.col("main")
         placed = named_all.join(sketches, "a").withColumn("cut", F.pmod(F.xxhash64("a"), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int"))
-        # (lo, hi): blocks of others, the lower one first, or -1 - k for block k of the largest component and a block of others
+        # (lo, hi): blocks of others, the lower one first, or -1 - k for block k of the largest component and a block of
+        # others; a group of BLOCK members at most is one block
         span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
         with_main = lambda lo, hi, side: F.struct((-1 - lo).alias("lo"), hi.alias("hi"), F.lit(side).alias("side"))
         cut = F.col("cut")
-        meets = F.when(is_main, F.transform(span("others"), lambda k: with_main(cut, k, 0))).otherwise(
+        alone = F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("side")))
+        meets = F.when(F.col("one"), alone).when(is_main, F.transform(span("others"), lambda k: with_main(cut, k, 0))).otherwise(
             F.concat(F.transform(span("mains"), lambda k: with_main(k, cut, 1)), F.transform(span("others"), lambda k: F.struct(F.least(cut, k).alias("lo"), F.greatest(cut, k).alias("hi"), (cut > k).cast("int").alias("side"))))
         )
         placed = placed.withColumn("at", F.explode(meets)).select("token", "at.lo", "at.hi", "at.side", "a", "n", "c", "marks", "tokens")
