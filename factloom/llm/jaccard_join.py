@@ -499,7 +499,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
     frequent = sc.broadcast((token[by], np.minimum(top["level"].to_numpy()[by], 62).astype(_U)))
     rows = survey.where("token is null").select("doc_id", "n", "digest")
     reps = rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    named = written(rows.join(reps, "digest", "left").select("doc_id", "n", "rep"), "named")
+    named = written(hot_join(rows, reps, "digest", "doc_id", rows.count(), "left").select("doc_id", "n", "rep"), "named")
 
     index = docs.mapInArrow(lambda it: _index(it, frequent), "token long, doc_id long, n int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -9,11 +9,12 @@ cannot reach the share, and the rest is verified on the whole sets.
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import ready, table, written
+from factloom.llm.common import ready, small, table, written
 
 #: Phrases and labels of the contract.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -43,23 +44,26 @@ def _words(col: F.Column) -> F.Column:
     return F.split(F.translate(col, AZ, AZ.lower()), NOT_WORD)
 
 
-def _targets() -> list[tuple[str, list[str], int]]:
+def _targets(templates: Mapping[str, str]) -> list[tuple[str, list[str], int]]:
     """(label, distinct tokens, least number shared); the phrases must be held wholly."""
-    out = [(label, sorted(set(text.split())), CONTAINMENT) for label, text in TEMPLATES.items()]
+    out = [(label, sorted(set(text.split())), CONTAINMENT) for label, text in templates.items()]
     out += [(f"={phrase}", sorted(set(phrase.split())), 1.0) for phrase in PHRASES]
     return [(label, tokens, math.ceil(share * len(tokens) - 1e-9)) for label, tokens, share in out]
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
     """id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of docs.
 
-    labels are those of the phrases and of all templates of which a block holds CONTAINMENT of the distinct tokens;
+    templates: label -> its lower-case words, short notices or whole license texts; blocks are so long that a text as long as
+    the longest template lies in one. labels are those of the phrases and of all templates of which a block holds CONTAINMENT of the distinct tokens;
     score is the largest containment (1 for a phrase, 0 without a match). Null texts count as empty: no words, no
     labels, empty strings, null word places. Null or repeated ids give a row each; other columns are ignored; an
     empty table gives no rows.
     """
     spark = ready(docs.sparkSession)
-    targets = _targets()
+    targets = _targets(templates)
+    half = max(STEP, *(len(t.split()) for t in templates.values()), 0)
+    block, step = (BLOCK, STEP) if half == STEP else (2 * half, half)
     vocabulary = sorted({t for _, tokens, _ in targets for t in tokens})
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
@@ -69,7 +73,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rank = {t: k for k, t in enumerate(sorted(vocabulary, key=lambda t: (seen.get(t, 0), t)))}
     sets = [(label, sorted(tokens, key=rank.get), least) for label, tokens, least in targets]
     starts = [(t, label, i, len(tokens), least, tokens) for label, tokens, least in sets for i, t in enumerate(tokens[: len(tokens) - least + 1])]
-    index = F.broadcast(spark.createDataFrame(starts, "token string, label string, i int, size int, least int, tokens array<string>"))  # bounded by the templates
+    index = small(spark.createDataFrame(starts, "token string, label string, i int, size int, least int, tokens array<string>"))
     first = F.array(*(F.lit(t) for t in sorted({s[0] for s in starts})))
 
     split = texts.select("id", _words(F.col("text")).alias("w"))
@@ -85,7 +89,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     all_places = F.concat(*(F.col(f"p{k}") for k in range(len(at))))
     base = places.select("row", F.size(all_places).cast("long").alias("n_base"), F.array_min(all_places).cast("long").alias("first_word"), F.array_max(all_places).cast("long").alias("last_word"), F.array_compact(F.array(*(F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, label in enumerate(PHRASES.values())))).alias("base"))
 
-    blocks = held.select("row", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("w") - STEP) / STEP).cast("int") - 1))).alias("block")).select("row", "block", F.slice("w", F.col("block") * STEP + 1, BLOCK).alias("w"))
+    blocks = held.select("row", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("w") - step) / step).cast("int") - 1))).alias("block")).select("row", "block", F.slice("w", F.col("block") * step + 1, block).alias("w"))
     ordered = F.array(*(F.lit(t) for t in sorted(rank, key=rank.get)))
     blocks = blocks.select("row", "block", F.array_intersect(ordered, "w").alias("b")).where(F.size("b") > 0)
     met = blocks.select("row", "block", "b", F.posexplode("b").alias("j", "token")).join(index, "token")

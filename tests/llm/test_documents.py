@@ -618,6 +618,15 @@ def test_license_scan(docs, odd):
     assert license_scan.scan(docs([])).count() == 0
 
 
+def test_license_scan_with_whole_texts_as_templates(docs):
+    rng = random.Random(17)
+    many = [f"v{k}" for k in range(900)]
+    templates = {"long": " ".join(rng.sample(many, 150)), "short": "this is a short notice"}
+    body = templates["long"].split()
+    rows = [(1, prose(rng, 500) + " " + " ".join(body) + " " + prose(rng, 77)), (2, prose(rng, 33) + " " + " ".join(body[:-10])), (3, " ".join(body[:120])), (4, "x This is a SHORT notice"), (5, "")]
+    assert {r.doc_id: r.labels for r in license_scan.scan(docs(rows), templates=templates).collect()} == {1: "long", 2: "long", 3: "", 4: "short", 5: ""}
+
+
 def test_license_scan_runs_no_python(docs):
     plan = license_scan.scan(docs([(1, "a")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
