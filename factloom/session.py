@@ -57,10 +57,10 @@ def _bytes(col, kind: T.DataType):
 def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if its values are measured to take at most so many bytes, else as it is.
 
-    At most `most` / 8 rows are read for the answer, as each takes eight bytes or more.
+    The measure is one sum over all rows, added up where they are; df should be cheap to read, like a written table.
     """
     size = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(0))
-    found = df.limit(most // 8 + 1).agg(F.sum(size.cast("long"))).first()[0] or 0
+    found = df.agg(F.sum(size.cast("long"))).first()[0] or 0
     return F.broadcast(df) if found <= most else df
 
 
