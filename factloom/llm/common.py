@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from factloom import session
 from factloom.session import shared_dir, small
 
-__all__ = ["bit_of", "bitmap", "components", "few_ids", "has_bit", "hot_join", "ready", "roots", "shared_dir", "small", "table", "written"]
+__all__ = ["MOST_IDS", "bit_of", "bitmap", "components", "has_bit", "hot_join", "ready", "roots", "shared_dir", "small", "table", "written"]
 #: Bits of an id bitmap: sixteen for each id, between these bounds (1 and 16 MB).
 LEAST_BITS, MOST_BITS = 1 << 23, 1 << 27
-#: Ids that a bitmap is made for at most; with more, exact semi-joins take its place.
+#: Ids that a bitmap is made for at most; with more, an exact semi-join takes its place.
 MOST_IDS = 1 << 25
 #: Rows of a key from which it is dealt out, at least; and the share of all rows, so that hot keys are 1000 at most.
 HOT_ROWS, HOT_SHARE = 250, 1000
@@ -42,22 +42,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def few_ids(ids: DataFrame) -> bool:
-    """Whether a bitmap is made for these ids; else they take part in exact semi-joins."""
-    return ids.limit(MOST_IDS + 1).count() <= MOST_IDS
-
-
 def bit_of(col, words: np.ndarray) -> F.Column:
     """Place of an id in a bitmap of bitmap()."""
     return F.pmod(F.xxhash64(col), F.lit(32 * len(words)))
 
 
-def bitmap(ids: DataFrame, col: str) -> np.ndarray:
+def bitmap(ids: DataFrame, col: str, n: int | None = None) -> np.ndarray:
     """One bit for each hashed id in 32-bit words, MOST_BITS / 8 bytes at most on the driver however many ids there are.
 
-    A filter that may let other ids pass, never one that loses an id; exact joins follow it.
+    n: number of ids, if it is known. A filter that may let other ids pass, never one that loses an id; exact joins follow it.
     """
-    bits = min(max(1 << (16 * ids.count()).bit_length(), LEAST_BITS), MOST_BITS)
+    bits = min(max(1 << (16 * (ids.count() if n is None else n)).bit_length(), LEAST_BITS), MOST_BITS)
     rows = ids.select(F.pmod(F.xxhash64(col), F.lit(bits)).alias("p")).groupBy(F.expr("cast(shiftright(p, 5) as int)").alias("w")).agg(F.expr("cast(bit_or(shiftleft(1L, cast(p & 31 as int))) as long)").alias("b")).toArrow()
     out = np.zeros(bits // 32, np.uint32)
     out[rows.column("w").to_numpy()] = rows.column("b").to_numpy().astype(np.uint32)

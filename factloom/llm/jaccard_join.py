@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bit_of, bitmap, components, few_ids, has_bit, hot_join, ready, table, written
+from factloom.llm.common import MOST_IDS, bit_of, bitmap, components, has_bit, hot_join, ready, table, written
 
 WORDS = 5
 PERCENT = 75
@@ -446,8 +446,9 @@ def _candidates(docs: DataFrame, ids: DataFrame):
 
     With too many ids for a bitmap the documents are semi-joined with them instead, and the bitmap lets all pass.
     """
-    if few_ids(ids):
-        words = bitmap(ids, "id")
+    n = ids.count()
+    if n <= MOST_IDS:
+        words = bitmap(ids, "id", n)
     else:
         docs, words = docs.join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), np.full(1, 0xFFFFFFFF, np.uint32)
     return docs.withColumn("bit", bit_of(F.col("doc_id"), words)), docs.sparkSession.sparkContext.broadcast(words)
