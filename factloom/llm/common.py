@@ -30,10 +30,16 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df from a Parquet table in the shared folder: cuts lineage, survives lost executors."""
+def written(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
+    """The rows of df from a Parquet table in the shared folder: cuts lineage, survives lost executors.
+
+    compact: for narrow results of shuffles; at most four files for each core or one for four shuffle partitions, whichever
+    is more, as each file costs a cluster's file system more than such rows do.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
+    if compact:
+        df = df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -274,7 +274,7 @@ def extract(pages: DataFrame, differencing: bool = True) -> DataFrame:
     keyed = pages.select(F.col("page_id").cast("long"), "url", "html", F.xxhash64("page_id", "url", "html").alias("key"))
     if differencing:
         hashes = keyed.mapInArrow(_hashes, "key long, host string, path string, lines array<long>, digest long").dropDuplicates(["key"])
-        deleted = small(written(_deleted(near_pages(hashes)), "deleted"))
+        deleted = small(written(_deleted(near_pages(hashes)), "deleted", compact=True))
     else:
         deleted = keyed.sparkSession.createDataFrame([], "key long, deleted array<int>")
     return keyed.join(deleted, "key", "left").select("page_id", "url", "html", "deleted").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")

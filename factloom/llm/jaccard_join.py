@@ -470,11 +470,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, frequent, name: str) -> DataFra
         return pairs
 
     keyed, bits = _candidates(docs, _ids(pairs))
-    left = written(both(pairs, keyed.mapInArrow(lambda it: _sketches(it, frequent, bits), SKETCH)).mapInArrow(_may_link, "a long, b long"), f"{name}-left")
+    left = written(both(pairs, keyed.mapInArrow(lambda it: _sketches(it, frequent, bits), SKETCH)).mapInArrow(_may_link, "a long, b long"), f"{name}-left", compact=True)
     bits.unpersist()
     keyed, few = _candidates(docs, _ids(left))
     found = both(left, keyed.mapInArrow(lambda it: _whole(it, few), "id long, s array<long>")).select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"), (F.size("sa") + F.size("sb")).cast("long").alias("sizes"))
-    found = written(found, name)
+    found = written(found, name, compact=True)
     few.unpersist()
     return found
 
@@ -500,7 +500,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
     frequent = sc.broadcast((token[by], np.minimum(top["level"].to_numpy()[by], 62).astype(_U)))
     rows = survey.where("token is null").select("doc_id", "n", "digest")
     reps = rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    named = written(hot_join(rows, reps, "digest", "doc_id", rows.count(), "left").select("doc_id", "n", "rep"), "named")
+    named = written(hot_join(rows, reps, "digest", "doc_id", rows.count(), "left").select("doc_id", "n", "rep"), "named", compact=True)
 
     index = docs.mapInArrow(lambda it: _index(it, frequent), "token long, doc_id long, n int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -512,12 +512,12 @@ def join_documents(docs: DataFrame) -> DataFrame:
             pairs = pairs.join(rep_of.select(F.col("doc_id").alias(c), F.col("rep").alias(f"r{c}")), c)
         return pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a <> b").distinct()
 
-    pairs = written(represented(found.where("token is null").select("a", "b").distinct()), "reps")
+    pairs = written(represented(found.where("token is null").select("a", "b").distinct()), "reps", compact=True)
     big = found.where("token is not null")
     tested = _verified(pairs, docs, frequent, "tested")
     enough = F.col("shared") * 100 >= PERCENT * (F.col("sizes") - F.col("shared"))
     links = tested.where(enough).select("a", "b")
-    comp = written(components(links), "components")
+    comp = components(links)
 
     # Members of large groups that are still in different components meet in blocks of their groups. The members of a
     # group's largest component meet only those of the others, so that a group that is nearly one component, however
@@ -527,7 +527,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
     sizes = rest.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("size"))
     cuts = lambda k: F.ceil(k / BLOCK).cast("int")
     mixed = sizes.where("size > most").select("token", "main", (F.col("size") <= BLOCK).alias("one"), cuts(F.col("most")).alias("mains"), cuts(F.col("size") - F.col("most")).alias("others"))
-    rest = written(hot_join(rest, mixed, "token", "a", big.count()), "rest")
+    rest = written(hot_join(rest, mixed, "token", "a", big.count()), "rest", compact=True)
     if rest.take(1):
         keyed, bits = _candidates(docs, rest.select(F.col("a").alias("id")))
         sketches = keyed.mapInArrow(lambda it: _sketches(it, frequent, bits), SKETCH).select(F.col("id").alias("a"), "n", "marks")
@@ -546,10 +546,10 @@ def join_documents(docs: DataFrame) -> DataFrame:
         )
         placed = placed.withColumn("at", F.explode(meets)).select("token", "at.lo", "at.hi", "at.side", "a", "n", "c", "marks", "tokens")
         near = placed.repartition(parts, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_near, "a long, b long")
-        more = written(near.distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+        more = written(near.distinct().join(pairs, ["a", "b"], "left_anti"), "more", compact=True)
         bits.unpersist()
         extra = _verified(more, docs, frequent, "extra").where(enough).select("a", "b")
-        comp = written(components(links.unionAll(extra)), "components")
+        comp = components(links.unionAll(extra))
     frequent.unpersist()
     return named.join(comp, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
