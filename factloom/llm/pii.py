@@ -43,6 +43,8 @@ CONTEXT = 12
 LINKS, DIGITS = 3, 7
 #: Rounds of message passing; belief from which a token counts; skip potential before learning and its weight as a prior.
 ROUNDS, BELIEF, SKIP, PRIOR = 12, 0.9, 1.0, 0.02
+#: Gradient steps for the skip potentials and their size.
+STEPS, RATE = 15, 5.0
 _CANDIDATE = re.compile(r"[0-9@]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"\S+")
@@ -304,9 +306,9 @@ def train(texts: list[str]) -> Field:
         scores[graph.skip[both, 1]] = 0
         kind, observed = graph.skip[both, 2], labels[graph.skip[both, 0]] == labels[graph.skip[both, 1]]
         count = np.bincount(kind, minlength=LINKS)
-        for _ in range(40):
-            gap = np.bincount(kind, observed - beliefs(scores, graph, chain.trans, skip)[1][both], LINKS)
-            skip += 2.0 * (gap / np.maximum(count, 1) - PRIOR * (skip - start) / np.maximum(1, count / 20))
+        for _ in range(STEPS):
+            gap = np.bincount(kind, observed - beliefs(scores, graph, chain.trans, skip, 4)[1][both], LINKS)
+            skip += RATE * (gap / np.maximum(count, 1) - PRIOR * (skip - start) / np.maximum(1, count / 20))
     return Field(chain, skip)
 
 
