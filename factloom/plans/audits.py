@@ -28,8 +28,8 @@ def _claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     c = c.withColumn("kind", F.col("c_custkey") % n).withColumn("bad", F.expr(f"(c_custkey div {n}) % 3 = 1")).withColumn("changed", F.expr(f"(c_custkey div {n}) % 5 = 2"))
     text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
     subject, name, bad = F.col("subject"), F.col("name"), F.col("bad")
-    other = F.when(bad, F.reverse("subject")).otherwise(subject)
-    other = F.when(bad & (F.reverse("subject") == subject), F.lit("123456789")).otherwise(other)
+    # The next key's claim has another method, so no two claims of a method cite one body by this number, whatever the keys.
+    other = F.when(bad, F.lpad((F.col("c_custkey") + 1).cast("string"), 9, "0")).otherwise(subject)
     pick = lambda good, wrong: F.when(bad, F.lit(wrong)).otherwise(F.lit(good))
     short = text("Firma ", F.col("c_custkey").cast("string"))
     block = text("<footer>Copyright ", name, ". Org.nr. ", other, "</footer>")

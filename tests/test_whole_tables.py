@@ -2,10 +2,12 @@
 
 import hashlib
 
+import duckdb
 import numpy as np
 
 from factloom.operators import sample
-from factloom.plans import measures
+from factloom.plans import audits, measures
+from tests.oracle import difference
 
 
 def test_accounts_of_all_orders(spark, tmp_path):
@@ -41,3 +43,11 @@ def test_holm_of_all_users(spark, tmp_path):
         steps = np.maximum.accumulate([(len(tests) - i) * p for i, (p, _) in enumerate(tests)])
         want |= {u: round(min(1.0, float(a)), 9) for (_, u), a in zip(tests, steps, strict=True)}
     assert got == want
+
+
+def test_audit_of_numbers_that_read_alike_backwards(spark, tmp_path):
+    spark.range(0, 1_000_000, 1000).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+    for name in ("q_audit_claims", "q_audit_recall"):
+        assert difference(audits.QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(audits.ORACLES[name]).df()) == ""
