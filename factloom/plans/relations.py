@@ -50,8 +50,9 @@ def q_at_most(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select l_partkey, min(l_orderkey * 10 + l_linenumber) as pos, arg_min(l_suppkey, l_orderkey * 10 + l_linenumber) as l_suppkey from lineitem group by 1")
 def q_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
-    return windows.first_seen(lines, ["l_partkey"], "pos")
+    stored = F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")  # of rows at one place the SQL keeps the first it reads
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), *stored)
+    return windows.first_seen(lines, ["l_partkey"], "pos", ["file", "row"])
 
 
 @query("""

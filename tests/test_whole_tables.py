@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 
 from factloom.operators import sample
-from factloom.plans import audits, measures
+from factloom.plans import audits, measures, relations
 from tests.oracle import difference
 
 
@@ -51,3 +51,15 @@ def test_audit_of_numbers_that_read_alike_backwards(spark, tmp_path):
     con.execute(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
     for name in ("q_audit_claims", "q_audit_recall"):
         assert difference(audits.QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(audits.ORACLES[name]).df()) == ""
+
+
+def test_first_seen_of_rows_at_one_place(spark, tmp_path):
+    lines = [(7, 1, 1, 3), (7, 1, 2, 3), (7, 1, 3, 3), (1, 2, None, 1), (1, 2, 5, 1), (1, 2, 4, 1), (9, 2, 6, 1), (None, 3, 8, 1), (5, 3, 9, 2), (5, 3, 7, 2), (None, 4, 1, 1), (2, 5, None, 1), (3, None, 2, 2), (3, None, 1, 2)]
+    for shift in (0, 100):  # two files, each with its own suppliers at the same places
+        rows = [(o, p, s if s is None else s + shift, n) for o, p, s, n in lines]
+        spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute("set threads = 1")  # with more, which of several files it reads first is open
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = relations.q_first_seen(spark, str(tmp_path)).select("l_partkey", "pos", "l_suppkey").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(con.execute(relations.ORACLES["q_first_seen"]).fetchall(), key=repr)
