@@ -8,16 +8,20 @@ broadcast is bounded by the limit (some 5 * limit patterns), not by the rows. Th
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
+from pathlib import Path
 from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +31,8 @@ from factloom.llm.token_counts import tokenizer_path
 LIMIT = 4096
 #: Tokenizer files for which WordIds gives the library's ids.
 BY_WORDS = ("word_bpe_49k.json",)
-#: Entries of a worker's word cache; it starts again when full, so memory stays bounded.
-CACHE_WORDS = 600_000
+#: Entries of a worker's word cache, some 200 bytes each; when it is full, the first ones stay, which are mostly the frequent ones.
+CACHE_WORDS, KEPT_WORDS = 300_000, 150_000
 #: Texts that are split into words at once.
 TEXTS = 500
 #: Exchanges that the local search looks at before it stops, on the driver.
@@ -36,14 +40,82 @@ WORK = 60_000_000
 #: Rows of one salted rank window: a thousandth of all, between these bounds.
 LEAST_ROWS, WINDOW_ROWS = 250, 50_000
 #: Letters that are one word for the tokenizer and its normaliser only lower-cases, and marks that are another word.
-_STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%&*$#|()]*)")
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,!?;:%&*$#|()"
+
+
+class Merges:
+    """The model's merges as arrays, for many words of one length at once.
+
+    As in the library, each step of a word joins its leftmost pair of the lowest rank. The words that still have one have all
+    made as many steps and so have equally many symbols.
+    """
+
+    #: Signs of a word at most, slots of the hash table of pairs, and the rank of what is no merge.
+    MOST, SLOTS, NONE = 32, 1 << 20, 1 << 25
+
+    def __init__(self, vocab: dict[str, int], merges: list, signs: dict[int, str], end: str):
+        pairs = [x.split(" ") if isinstance(x, str) else x for x in merges]
+        self.first, self.last = (np.array([vocab[signs[b] + e] for b in range(256)], np.uint32) for e in ("", end))
+        self.joined = np.array([vocab[a + b] for a, b in pairs], np.uint32)
+        self.keys, self.ranks = np.full(self.SLOTS, 0xFFFFFFFF, np.uint32), np.full(self.SLOTS, self.NONE, np.int32)
+        keys = np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], np.uint32)
+        for rank, (key, at) in enumerate(zip(keys.tolist(), self._slot(keys).tolist(), strict=True)):
+            while self.keys[at] != 0xFFFFFFFF:
+                at = (at + 1) % self.SLOTS
+            self.keys[at], self.ranks[at] = key, rank
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint32(2654435761) >> np.uint32(12)).astype(np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = a << np.uint32(16) | b
+        at = self._slot(keys)
+        out, found = self.ranks[at], self.keys[at]
+        other = found != keys  # free slots, and those of other pairs, behind which this one may stand
+        out[other] = self.NONE
+        open_ = np.nonzero(other & (found != 0xFFFFFFFF))
+        at, keys = at[open_], keys[open_]
+        while len(at):
+            at = (at + 1) % self.SLOTS
+            found = self.keys[at]
+            same = found == keys
+            out[tuple(x[same] for x in open_)] = self.ranks[at[same]]
+            left = ~same & (found != 0xFFFFFFFF)
+            at, keys, open_ = at[left], keys[left], tuple(x[left] for x in open_)
+        return out
+
+    def encode(self, words: np.ndarray) -> list[bytes]:
+        """The ids of words of one length, from 1 to MOST bytes, a row of bytes for each."""
+        flat = words.T
+        symbols = np.concatenate([self.first[flat[:-1]], self.last[flat[-1:]]])
+        ranks, live, out = self.rank(symbols[:-1], symbols[1:]), np.arange(len(words)), [b""] * len(words)
+        while True:
+            places = np.arange(len(ranks), dtype=np.int32)[:, None]
+            least = (ranks << 5 | places).min(0) if len(ranks) else np.full(len(live), self.NONE << 5, np.int32)
+            more = least < self.NONE << 5
+            if not more.all():
+                ids, size = symbols[:, ~more].T.astype("<u4").tobytes(), 4 * len(symbols)
+                for k, i in enumerate(live[~more].tolist()):
+                    out[i] = ids[k * size : (k + 1) * size]
+                if not more.any():
+                    return out
+                symbols, ranks, live, least = symbols[:, more], ranks[:, more], live[more], least[more]
+            at, row = least & 31, np.arange(len(live))
+            symbols = np.where(places > at, symbols[1:], symbols[:-1])
+            symbols[at, row] = self.joined[least >> 5]
+            ranks = np.where(places[:-1] >= at, ranks[1:], ranks[:-1])
+            for k in (at - 1, at):
+                has = (k >= 0) & (k < len(ranks))
+                i, j = k[has], row[has]
+                ranks[i, j] = self.rank(symbols[i, j], symbols[i + 1, j])
 
 
 class WordIds(dict):
     """Word -> its token ids as little-endian unsigned 32-bit bytes, words being split at spaces and line feeds.
 
     The tokenizer drops white space and no token crosses it, so a text's ids are those of its words in turn;
-    letters and the punctuation behind them are split as well. New words are encoded many at a time.
+    letters and the punctuation behind them are split as well. Arrow splits texts and finds their different words, so only
+    these are looked up here one by one; new ones are encoded many at a time.
     """
 
     def __init__(self, name: str):
@@ -54,35 +126,44 @@ class WordIds(dict):
         # the signs that stand for bytes: printable Latin-1 for itself, the others from U+0100 on, in order
         own = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace()]
         self.signs = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in own)}
-
-    def learn(self, words: set[str]) -> None:
-        """Encode the words that are not known yet."""
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        odd = []
-        for w in words:
-            if w not in self:
-                if m := _STEM.fullmatch(w):
-                    stem, marks = m.groups()
-                    ids = self.letters(stem.lower())
-                    if marks:
-                        if marks not in self:
-                            self[marks] = self.encode([marks])[0]
-                        ids += self[marks]
-                    self[w] = ids
-                else:
-                    odd.append(w)
+        parts = json.loads(Path(tokenizer_path(name)).read_bytes())
+        self.as_is = rf"[^\x{{00}}-\x{{ff}}]|(?i:{'|'.join(re.escape(x['content']) for x in parts['added_tokens'])})"
+        self.merges = Merges(parts["model"]["vocab"], parts["model"]["merges"], self.signs, parts["model"]["end_of_word_suffix"])
+
+    def learn(self, words: pa.Array) -> None:
+        """Encode these different words; those of letters must be lower-case."""
+        plain = pc.match_substring_regex(words, f"^[{_LETTERS}]+$")
+        odd = words.filter(pc.invert(plain)).to_pylist()
         for at in range(0, len(odd), 4000):
             part = odd[at : at + 4000]
             self.update(zip(part, self.encode(part), strict=True))
-
-    def letters(self, stem: str) -> bytes:
-        """The ids of lower-case letters that no normalisation changes: one word for the model."""
-        ids = self.get(stem)
-        if ids is None:
-            signs = stem if stem.isascii() else "".join(map(self.signs.__getitem__, stem.encode()))
-            ids = self[stem] = pack_ids(f"<{len(found := self.bpe.tokenize(signs))}I", *[t.id for t in found])
-        return ids
+        words = words.filter(plain)
+        if not len(words):
+            return
+        begin, data = np.frombuffer(words.buffers()[1], np.int32)[words.offset :][: len(words) + 1], np.frombuffer(words.buffers()[2], np.uint8)
+        names, sizes = words.to_numpy(zero_copy_only=False), np.diff(begin)
+        for size in np.unique(sizes).tolist():
+            rows = np.nonzero(sizes == size)[0]
+            if size <= Merges.MOST:
+                self.update(zip(names[rows].tolist(), self.merges.encode(data[begin[rows][:, None] + np.arange(size)]), strict=True))
+            else:
+                for word in names[rows].tolist():
+                    ids = [t.id for t in self.bpe.tokenize("".join(map(self.signs.__getitem__, word.encode())))]
+                    self[word] = pack_ids(f"<{len(ids)}I", *ids)
+
+    def found(self, words: pa.Array) -> list[bytes]:
+        """The ids of each of these different words."""
+        if len(self) > CACHE_WORDS:
+            kept = dict(islice(self.items(), KEPT_WORDS))
+            self.clear()
+            self.update(kept)
+        names = words.to_numpy(zero_copy_only=False).tolist()
+        out = list(map(self.get, names))
+        if new := [k for k, ids in enumerate(out) if ids is None]:
+            self.learn(words.take(pa.array(new)))
+            for k in new:
+                out[k] = self[names[k]]
+        return out
 
     def encode(self, words: list[str]) -> list[bytes]:
         found = self.model.encode(" ".join(words), add_special_tokens=False)
@@ -92,10 +173,36 @@ class WordIds(dict):
         return [ids[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; what new words there are in these texts is held besides the cache."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(set().union(*words))
-        return [b"".join(map(self.__getitem__, w)) for w in words]
+        """The ids of each text."""
+        ids, ends = self.spread(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, ends[:-1])] if texts else []
+
+    def spread(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text behind the other, and where each text ends; what new words there are in these texts
+        is held besides the cache.
+
+        Latin-1 texts are lower-cased first, as the normaliser does it sign by sign and Arrow too; texts in which lower case
+        stands or could make a special string stay as they are, and so do all others.
+        """
+        texts = pc.if_else(pc.match_substring_regex(texts, self.as_is), texts, pc.utf8_lower(texts))
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = lists.values.dictionary_encode()
+        stems = words.dictionary
+        plain = pc.match_substring_regex(stems, rf"^[{_LETTERS}]+[{re.escape(_MARKS)}]*$")
+        stems = pc.if_else(plain, pc.utf8_lower(pc.utf8_rtrim(stems, _MARKS)), stems)
+        marked = pc.indices_nonzero(pc.less(pc.binary_length(stems), pc.binary_length(words.dictionary)))
+        marks = pc.replace_substring_regex(words.dictionary.take(marked), f"^[{_LETTERS}]+", "").dictionary_encode()
+        stems = stems.dictionary_encode()
+        found = self.found(stems.dictionary) + self.found(marks.dictionary) + [b""]
+        mark = np.full(len(words.dictionary), len(found) - 1)
+        mark[marked.to_numpy()] = len(stems.dictionary) + marks.indices.to_numpy()
+        at = np.stack([stems.indices.to_numpy(), mark], 1)[words.indices.to_numpy()].ravel()
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        each = sizes[at]
+        ends = np.cumsum(each)
+        places = np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - each), each)
+        places += np.arange(len(places))
+        return np.frombuffer(b"".join(found), "<u4")[places], np.concatenate([[0], ends])[2 * lists.offsets.to_numpy()[1:].astype(np.int64)]
 
 
 @cache
@@ -111,8 +218,10 @@ def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, limit: int, end_i
         for at in range(0, batch.num_rows, TEXTS):
             rows = batch.slice(at, TEXTS)
             cols: list[list] = [[], [], [], [], []]
-            for i, ids in zip(rows.column(0).to_pylist(), words.ids([t or "" for t in rows.column(1).to_pylist()]), strict=True):
-                ids += end
+            found, ends = words.spread(pc.fill_null(rows.column(1), ""))
+            begin = 0
+            for i, stop in zip(rows.column(0).to_pylist(), ends.tolist(), strict=True):
+                ids, begin = found[begin:stop].tobytes() + end, stop
                 for k, start in enumerate(range(0, len(ids) // 4, limit)):
                     part = ids[4 * start : 4 * (start + limit)]
                     for col, x in zip(cols, (i, k, start, len(part) // 4, zlib.crc32(part)), strict=True):

@@ -159,6 +159,26 @@ def test_word_cache_gives_the_tokenizers_ids():
         assert got + b"\x01\0\0\0" == ids_of(text).tobytes(), text
 
 
+def test_plain_words_are_encoded_together():
+    """New words of letters cost no call of the library each, whatever their case and the marks behind them."""
+    words = packing.WordIds("word_bpe_49k.json")
+    library, words.bpe = words.model, None
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choices("etaoinshrdluzqÉéßñ", k=rng.randint(1, 16))).capitalize() + rng.choice(["", "", ".", "),"]) for _ in range(rng.randint(1, 60))) for _ in range(400)]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert words.ids(texts) == want
+
+
+def test_a_full_word_cache_keeps_its_first_words(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 300)
+    monkeypatch.setattr(packing, "KEPT_WORDS", 100)
+    words = packing.WordIds("word_bpe_49k.json")
+    texts = [f"the of {' '.join(chr(97 + k % 26) * (k // 26 + 1) for k in range(n, n + 40))}." for n in range(0, 1000, 40)]
+    for text in ["the of", *texts]:
+        assert words.ids([text])[0] == np.array(words.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert len(words) <= 300 + 43 and {"the", "of"} <= set(words)
+
+
 # ---------------------------------------------------------------- token counts
 
 
