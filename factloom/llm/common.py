@@ -22,6 +22,9 @@ MOST_IDS = 1 << 25
 HOT_ROWS, HOT_SHARE = 250, 1000
 #: Edges that one task replaces by stars, some 100 MB.
 LOCAL_EDGES = 1 << 20
+#: For a shared folder that is mounted (file:): Hadoop's local file system starts a child (chmod) for each file, for its checksum file
+#: and again for both; until such a child runs its own program it counts as a second JVM. Without checksum files it is one child a file.
+_NO_CHECKSUMS = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -40,7 +43,7 @@ def written(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
     if compact:
         df = df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
-    df.write.parquet(path)
+    df.write.options(**_NO_CHECKSUMS).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -103,7 +103,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     ready(docs.sparkSession)
     items = benchmark.where("item_id is not null").select("item_id", _words(F.col("text")).alias("iw")).where(F.size("iw") > 0)
-    items = written(items.select("item_id", "iw", F.size("iw").alias("m"), F.xxhash64("item_id", F.concat_ws(" ", "iw")).alias("item")).distinct(), "items")
+    items = written(items.select("item_id", "iw", F.size("iw").alias("m"), F.xxhash64("item_id", F.concat_ws(" ", "iw")).alias("item")).distinct(), "items", compact=True)
     k = F.least(F.lit(SHINGLE), F.col("m"))
     longest, *short = [r[0] for r in items.agg(F.max("m").alias("m")).unionAll(items.where(F.col("m") < SHINGLE).select("m").distinct()).collect()]
     planes = int(longest or 1).bit_length()
@@ -117,7 +117,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         at = at.when(F.col("m") == n, _hashes("iw", n))
     places = items.select("item", "m", "tw", F.explode(F.arrays_zip(at.alias("hash"), _strings("iw", k).alias("shingle"))).alias("x")).select("item", "m", "tw", "x.hash", "x.shingle").distinct()
     before = F.coalesce(F.sum(F.length("shingle")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    anchors = written(places.withColumn("before", before).where(F.col("before") <= (1 - SIMILARITY) * F.col("tw")).select("hash", "m").distinct(), "anchors")
+    anchors = written(places.withColumn("before", before).where(F.col("before") <= (1 - SIMILARITY) * F.col("tw")).select("hash", "m").distinct(), "anchors", compact=True)
 
     # hits: places of anchors, each with the words that its windows can hold
     words = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("row"), _words(F.col("text")).alias("w"))
@@ -139,7 +139,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     key = F.xxhash64("m", "k", "v").alias("key")
     turned = F.when(F.col("k") == F.lit(BLOCKS - 1), _turned(WIDTHS[-1])).otherwise(_turned(WIDTHS[0]))
     index = items.select("item", "m", "ifp", F.posexplode(_blocks(F.col("ifp"))).alias("k", "b")).select("item", "m", "ifp", "k", F.explode(F.transform(turned, lambda t: t.bitwiseXOR(F.col("b")))).alias("v"))
-    index = written(index.select(key, "item", F.col("m").alias("im"), "ifp"), "blocks")
+    index = written(index.select(key, "item", F.col("m").alias("im"), "ifp"), "blocks", compact=True)
     met = windows.select("*", F.posexplode(_blocks(F.col("fp"))).alias("k", "v")).select("*", key).join(small(index), "key").where("m = im")
     met = met.withColumn("x", F.col("fp").bitwiseXOR(F.col("ifp"))).withColumn("hamming", F.bit_count("x")).where(F.col("hamming") <= RADIUS)
     near = F.transform(_blocks(F.col("x")), lambda b: F.bit_count(b) <= FLIPS)

@@ -492,7 +492,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
     surveyed = docs.mapInArrow(_survey, SURVEY)
     rows_of = F.when(F.col("token").isNull(), F.monotonically_increasing_id())  # a document's row stays one; tokens are summed
     counted = surveyed.withColumn("row", rows_of).groupBy("doc_id", "n", "digest", "token", "row").agg(F.sum("cnt").alias("cnt"))
-    survey = written(counted.where(F.col("token").isNull() | (F.col("cnt") >= TOTAL_COUNT)), "survey")
+    survey = written(counted.where(F.col("token").isNull() | (F.col("cnt") >= TOTAL_COUNT)), "survey", compact=True)
     top = survey.where("token is not null").orderBy(F.desc("cnt"), "token").limit(FREQUENT)
     top = top.select("token", F.floor(F.log2("cnt") * 2).cast("int").alias("level")).toPandas()
     token = top["token"].to_numpy().view(_U)

@@ -5,11 +5,12 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from factloom.llm import decontaminate, jaccard_join, language_id, license_scan, packing, pii, quality, token_counts
+from factloom.llm import common, decontaminate, jaccard_join, language_id, license_scan, packing, pii, quality, token_counts
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORDS = "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which one".split()
@@ -179,6 +180,18 @@ def test_a_full_word_cache_keeps_its_first_words(monkeypatch):
         assert len(words) <= 300 + 43 and {"the", "of"} <= set(words)
 
 
+# ---------------------------------------------------------------- shared tables
+
+
+def test_shared_tables_have_no_checksum_files(docs):
+    """Hadoop's local file system starts further children for these, each counting as a second executor."""
+    rows = [(k, f"text {k}") for k in range(20)]
+    found = common.written(docs(rows).repartition(5), "plain")
+    assert sorted(map(tuple, found.select("doc_id", "text").collect())) == rows
+    folder = Path(re.sub("^file:/+", "/", found.inputFiles()[0])).parent
+    assert list(folder.glob("part-*.parquet")) and not list(folder.glob(".*.crc"))
+
+
 # ---------------------------------------------------------------- token counts
 
 
