@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import parquet
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from factloom import session
 from factloom.session import shared_dir, small
 
-__all__ = ["MOST_IDS", "bit_of", "bitmap", "components", "has_bit", "hot_join", "ready", "roots", "shared_dir", "small", "table", "written"]
+__all__ = ["MOST_IDS", "bit_of", "bitmap", "components", "has_bit", "hot_join", "narrow", "ready", "roots", "shared_dir", "small", "table", "written"]
 #: Bits of an id bitmap: sixteen for each id, between these bounds (1 and 16 MB).
 LEAST_BITS, MOST_BITS = 1 << 23, 1 << 27
 #: Ids that a bitmap is made for at most; with more, an exact semi-join takes its place.
@@ -22,8 +26,11 @@ MOST_IDS = 1 << 25
 HOT_ROWS, HOT_SHARE = 250, 1000
 #: Edges that one task replaces by stars, some 100 MB.
 LOCAL_EDGES = 1 << 20
+#: Rows or bytes that a Python worker holds before it writes them.
+HELD_ROWS, HELD_BYTES = 1 << 17, 8 << 20
 #: For a shared folder that is mounted (file:): Hadoop's local file system starts a child (chmod) for each file, for its checksum file
 #: and again for both; until such a child runs its own program it counts as a second JVM. Without checksum files it is one child a file.
+#: narrow() needs none at all.
 _NO_CHECKSUMS = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
@@ -42,11 +49,63 @@ def written(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
     if compact:
-        df = df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
+        df = df.coalesce(_most_files(spark))
     df.write.options(**_NO_CHECKSUMS).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _mounted(spark: SparkSession) -> str | None:
+    """The shared folder's path in the file system, where it is mounted (file:)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    return full.getPath() if full.getScheme() == "file" else None
+
+
+def _saved(batches: Iterator[pa.RecordBatch], folder: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """(file,): the Parquet file of a task's rows, if it has any, under a name that no reader takes."""
+    name, out, held = f"_{uuid.uuid4().hex}", None, []
+    try:
+        for batch in batches:
+            if batch.num_rows:
+                out = out or parquet.ParquetWriter(f"{folder}/{name}", schema)
+                held.append(batch)
+                if sum(b.num_rows for b in held) >= HELD_ROWS or sum(b.nbytes for b in held) >= HELD_BYTES:
+                    out.write_table(pa.Table.from_batches(held).select(schema.names).cast(schema))
+                    held = []
+        if held:
+            out.write_table(pa.Table.from_batches(held).select(schema.names).cast(schema))
+    finally:
+        if out:
+            out.close()
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array([name])], names=["file"])
+
+
+def narrow(df: DataFrame, name: str, how: Callable | None = None, schema: str | None = None, compact: bool = True) -> DataFrame:
+    """written(), for tables without long texts: the rows of df, or of df.mapInArrow(how, schema).
+
+    Where the shared folder is mounted, the Python workers write the files, so that no executor starts a child for them
+    (see _NO_CHECKSUMS). A task's file has a hidden name until all tasks have ended; the driver then renames those that they
+    returned, so what failed or repeated tasks leave is never read. how and the writing share a worker.
+    """
+    spark = df.sparkSession
+    folder = _mounted(spark)
+    if folder is None:
+        return written(df.mapInArrow(how, schema) if how else df, name, compact)
+    kind = StructType.fromDDL(schema) if how else df.schema
+    if compact:
+        df = df.coalesce(_most_files(spark))
+    path, arrow = f"{folder}/factloom/{name}-{uuid.uuid4().hex}", to_arrow_schema(kind)
+    os.makedirs(path)
+    for (file,) in df.mapInArrow(lambda it: _saved(how(it) if how else it, path, arrow), "file string").collect():
+        os.rename(f"{path}/{file}", f"{path}/part-{file[1:]}.parquet")
+    return spark.read.schema(kind).parquet(f"file://{path}")
+
+
+def _most_files(spark: SparkSession) -> int:
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -129,7 +188,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     tasks = -(-e.count() // LOCAL_EDGES) or 1
-    nodes = e = written(e.repartition(tasks).mapInArrow(_forest, "u long, v long"), "forest")
+    nodes = e = narrow(e.repartition(tasks), "forest", _forest, "u long, v long", compact=False)
     if tasks == 1:
         return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     e, size = e.where("u <> v").distinct(), 2 * e.count()

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import MOST_IDS, bit_of, bitmap, components, has_bit, hot_join, ready, table, written
+from factloom.llm.common import MOST_IDS, bit_of, bitmap, components, has_bit, hot_join, narrow, ready, table
 
 WORDS = 5
 PERCENT = 75
@@ -470,11 +470,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, frequent, name: str) -> DataFra
         return pairs
 
     keyed, bits = _candidates(docs, _ids(pairs))
-    left = written(both(pairs, keyed.mapInArrow(lambda it: _sketches(it, frequent, bits), SKETCH)).mapInArrow(_may_link, "a long, b long"), f"{name}-left", compact=True)
+    left = narrow(both(pairs, keyed.mapInArrow(lambda it: _sketches(it, frequent, bits), SKETCH)), f"{name}-left", _may_link, "a long, b long")
     bits.unpersist()
     keyed, few = _candidates(docs, _ids(left))
     found = both(left, keyed.mapInArrow(lambda it: _whole(it, few), "id long, s array<long>")).select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"), (F.size("sa") + F.size("sb")).cast("long").alias("sizes"))
-    found = written(found, name, compact=True)
+    found = narrow(found, name)
     few.unpersist()
     return found
 
@@ -492,7 +492,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
     surveyed = docs.mapInArrow(_survey, SURVEY)
     rows_of = F.when(F.col("token").isNull(), F.monotonically_increasing_id())  # a document's row stays one; tokens are summed
     counted = surveyed.withColumn("row", rows_of).groupBy("doc_id", "n", "digest", "token", "row").agg(F.sum("cnt").alias("cnt"))
-    survey = written(counted.where(F.col("token").isNull() | (F.col("cnt") >= TOTAL_COUNT)), "survey", compact=True)
+    survey = narrow(counted.where(F.col("token").isNull() | (F.col("cnt") >= TOTAL_COUNT)), "survey")
     top = survey.where("token is not null").orderBy(F.desc("cnt"), "token").limit(FREQUENT)
     top = top.select("token", F.floor(F.log2("cnt") * 2).cast("int").alias("level")).toPandas()
     token = top["token"].to_numpy().view(_U)
@@ -500,11 +500,11 @@ def join_documents(docs: DataFrame) -> DataFrame:
     frequent = sc.broadcast((token[by], np.minimum(top["level"].to_numpy()[by], 62).astype(_U)))
     rows = survey.where("token is null").select("doc_id", "n", "digest")
     reps = rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    named = written(hot_join(rows, reps, "digest", "doc_id", rows.count(), "left").select("doc_id", "n", "rep"), "named", compact=True)
+    named = narrow(hot_join(rows, reps, "digest", "doc_id", rows.count(), "left").select("doc_id", "n", "rep"), "named")
 
     index = docs.mapInArrow(lambda it: _index(it, frequent), "token long, doc_id long, n int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = written(index.repartition(parts, "token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(_pairs, PAIRS), "pairs")
+    found = narrow(index.repartition(parts, "token").sortWithinPartitions("token", "n", "doc_id"), "pairs", _pairs, PAIRS, compact=False)
     rep_of = named.where("rep is not null").select("doc_id", "rep").distinct()
 
     def represented(pairs: DataFrame) -> DataFrame:
@@ -512,7 +512,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
             pairs = pairs.join(rep_of.select(F.col("doc_id").alias(c), F.col("rep").alias(f"r{c}")), c)
         return pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a <> b").distinct()
 
-    pairs = written(represented(found.where("token is null").select("a", "b").distinct()), "reps", compact=True)
+    pairs = narrow(represented(found.where("token is null").select("a", "b").distinct()), "reps")
     big = found.where("token is not null")
     tested = _verified(pairs, docs, frequent, "tested")
     enough = F.col("shared") * 100 >= PERCENT * (F.col("sizes") - F.col("shared"))
@@ -527,7 +527,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
     sizes = rest.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("size"))
     cuts = lambda k: F.ceil(k / BLOCK).cast("int")
     mixed = sizes.where("size > most").select("token", "main", (F.col("size") <= BLOCK).alias("one"), cuts(F.col("most")).alias("mains"), cuts(F.col("size") - F.col("most")).alias("others"))
-    rest = written(hot_join(rest, mixed, "token", "a", big.count()), "rest", compact=True)
+    rest = narrow(hot_join(rest, mixed, "token", "a", big.count()), "rest")
     if rest.take(1):
         keyed, bits = _candidates(docs, rest.select(F.col("a").alias("id")))
         sketches = keyed.mapInArrow(lambda it: _sketches(it, frequent, bits), SKETCH).select(F.col("id").alias("a"), "n", "marks")
@@ -546,7 +546,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
         )
         placed = placed.withColumn("at", F.explode(meets)).select("token", "at.lo", "at.hi", "at.side", "a", "n", "c", "marks", "tokens")
         near = placed.repartition(parts, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_near, "a long, b long")
-        more = written(near.distinct().join(pairs, ["a", "b"], "left_anti"), "more", compact=True)
+        more = narrow(near.distinct().join(pairs, ["a", "b"], "left_anti"), "more")
         bits.unpersist()
         extra = _verified(more, docs, frequent, "extra").where(enough).select("a", "b")
         comp = components(links.unionAll(extra))

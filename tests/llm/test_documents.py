@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 
 from factloom.llm import common, decontaminate, jaccard_join, language_id, license_scan, packing, pii, quality, token_counts
 
@@ -192,6 +193,21 @@ def test_shared_tables_have_no_checksum_files(docs):
     assert list(folder.glob("part-*.parquet")) and not list(folder.glob(".*.crc"))
 
 
+def test_narrow_tables_come_from_workers_and_only_from_tasks_that_ended(docs, tmp_path, monkeypatch):
+    rows = [(k, f"text {k}" if k % 3 else None) for k in range(40)]
+    odd = docs(rows).repartition(5).selectExpr("doc_id", "text", "cast(doc_id as int) as i", "doc_id > 3 as big", "encode(text, 'UTF-8') as bytes", "array(doc_id) as a")
+    want = sorted(map(tuple, odd.collect()), key=str)
+    monkeypatch.setattr(common, "HELD_ROWS", 3)
+    found = common.narrow(odd, "odd")
+    folder = Path(re.sub("^file:/+", "/", found.inputFiles()[0])).parent
+    assert all(re.fullmatch(r"part-\w+\.parquet", f.name) for f in folder.iterdir())
+    next(folder.iterdir()).with_name("_left").write_bytes(next(folder.iterdir()).read_bytes())  # of a task that was repeated
+    assert sorted(map(tuple, found.collect()), key=str) == want and found.dtypes == odd.dtypes
+    assert common.narrow(odd.where("doc_id < 0"), "none").collect() == []
+    monkeypatch.setattr(common, "_mounted", lambda spark: None)
+    assert sorted(map(tuple, common.narrow(odd, "odd").collect()), key=str) == want
+
+
 # ---------------------------------------------------------------- token counts
 
 
@@ -298,6 +314,25 @@ def test_words_longer_than_the_span_and_across_it(monkeypatch):
     assert all(len(a & b) == len(x & y) for a, x in zip(got, want, strict=True) for b, y in zip(got, want, strict=True))
 
 
+def test_jaccard_join_writes_no_tables_through_hadoop(docs, monkeypatch):
+    """Hadoop's local file system starts a child for each file and folder, which counts as a second executor (3000 MB held twice)."""
+
+    def refused(*_, **__):
+        raise AssertionError("a table written by Spark's writer")
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", refused)
+    monkeypatch.setattr(jaccard_join, "SMALL_GROUP", 2)  # so that all tables are made
+    rng = random.Random(8)
+    copy, line = prose(rng, 40), prose(rng, 6)
+    rows = [(k, copy + f" w{k}" * (k % 3 == 0)) for k in range(12)] + [(k, f"{line} {prose(rng, 5)}") for k in range(20, 30)]
+    got = {r.doc_id: r.component_id for r in jaccard_join.join_documents(docs(rows)).collect()}
+    sets = {k: set(jaccard_join.shingle_sets([t.encode()])[0].tolist()) for k, t in rows}
+    want = {k: k for k in sets}
+    for _ in sets:
+        want |= {a: min(want[b] for b in sets if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])) for a in sets}
+    assert got == want and {got[k] for k in range(12)} == {0}
+
+
 def test_jaccard_join_of_odd_documents(docs, odd):
     got = jaccard_join.join_documents(docs(odd)).collect()
     assert len(got) == len(odd)
