@@ -28,6 +28,7 @@ HOT_ROWS, HOT_SHARE = 250, 1000
 LOCAL_EDGES = 1 << 20
 #: Rows or bytes that a Python worker holds before it writes them.
 HELD_ROWS, HELD_BYTES = 1 << 17, 8 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: For a shared folder that is mounted (file:): Hadoop's local file system starts a child (chmod) for each file, for its checksum file
 #: and again for both; until such a child runs its own program it counts as a second JVM. Without checksum files it is one child a file.
 #: narrow() needs none at all.
@@ -86,7 +87,8 @@ def narrow(df: DataFrame, name: str, how: Callable | None = None, schema: str |
 
     Where the shared folder is mounted, the Python workers write the files, so that no executor starts a child for them
     (see _NO_CHECKSUMS). A task's file has a hidden name until all tasks have ended; the driver then renames those that they
-    returned, so what failed or repeated tasks leave is never read. how and the writing share a worker.
+    returned, so what failed or repeated tasks leave is never read. how and the writing share a worker. The shuffle files of
+    this one run are removed at its end (from Spark 4.1 on), not when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     folder = _mounted(spark)
@@ -97,7 +99,16 @@ def narrow(df: DataFrame, name: str, how: Callable | None = None, schema: str |
         df = df.coalesce(_most_files(spark))
     path, arrow = f"{folder}/factloom/{name}-{uuid.uuid4().hex}", to_arrow_schema(kind)
     os.makedirs(path)
-    for (file,) in df.mapInArrow(lambda it: _saved(how(it) if how else it, path, arrow), "file string").collect():
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        files = df.mapInArrow(lambda it: _saved(how(it) if how else it, path, arrow), "file string").collect()
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    for (file,) in files:
         os.rename(f"{path}/{file}", f"{path}/part-{file[1:]}.parquet")
     return spark.read.schema(kind).parquet(f"file://{path}")
 

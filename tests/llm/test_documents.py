@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 from pathlib import Path
@@ -208,6 +209,19 @@ def test_narrow_tables_come_from_workers_and_only_from_tasks_that_ended(docs, tm
     assert sorted(map(tuple, common.narrow(odd, "odd").collect()), key=str) == want
 
 
+def test_narrow_tables_leave_no_shuffle_files(spark, docs):
+    """Else the disk holds all shuffles of an operator until the driver collects its garbage."""
+    known = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    source = docs([(k, "text") for k in range(40)])
+    before = set(re.findall(r"(\d+) ->", known.keys().mkString("", " -> ", " ->")))
+    assert common.narrow(source.repartition(3, "doc_id").groupBy("doc_id").count(), "counts").count() == 40
+    last = time.time() + 10
+    while (left := set(re.findall(r"(\d+) ->", known.keys().mkString("", " -> ", " ->"))) - before) - {max(left, key=int, default=None)} and time.time() < last:
+        time.sleep(0.1)
+    assert len(left) <= 1  # of the count above
+    assert spark.conf.get(common._CLEANUP) == "false"
+
+
 # ---------------------------------------------------------------- token counts
 
 
